@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.ngram_join import jaccard_join
+
+    joined = jaccard_join(table(spark, sf_dir, "documents"))
+    return joined.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "representative")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.substring_dedup import without_repeats
 
@@ -27,6 +34,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_decontaminate": op4_decontaminate,
 }
