@@ -29,6 +29,7 @@ a null component; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -67,8 +68,6 @@ def subset_sizes(n: int, percent: int = PERCENT) -> list[int]:
 
 
 def subsets(n: int, percent: int = PERCENT) -> int:
-    import math
-
     return sum(math.comb(n, c) for c in subset_sizes(n, percent))
 
 
@@ -176,7 +175,7 @@ def postings(k: int, percent: int, boundary: int, frequent: np.ndarray):
                     if n <= boundary:
                         for c in subset_sizes(n, percent):
                             scrambled = mix(own ^ U64(0x5851F42D4C957F2D))
-                            gone = np.array(list(combinations(range(n), n - c)), np.int64).reshape(-1, n - c)
+                            gone = np.array(list(combinations(range(n), n - c)), np.int64).reshape(math.comb(n, c), n - c)
                             keys = scrambled.sum(keepdims=True) - scrambled[gone].sum(axis=1)
                             tokens.append(mix(keys))
                             kinds.append(np.full(len(keys), c, np.int32))
