@@ -106,7 +106,34 @@ class Sets:
         return both[0], both[1]
 
 
-_BASE = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
+_BASE = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sketch", pa.binary())])
+BASE = "kind int, id long, n long, k1 long, k2 long, sketch binary"
+
+
+def sketch(values: np.ndarray) -> bytes:
+    """The parity of the shingles that fall on each bit, on n to 2n bits: every shingle that only one of
+    two sets holds flips one bit, so two sketches differ in no more bits than their sets in shingles."""
+    bits = 1 << max(6, (len(values) - 1).bit_length())
+    slots = np.bincount((values * U64(0x9FB21C651E98DF25) >> U64(40)).astype(np.int64) & (bits - 1), minlength=bits)
+    return np.packbits((slots & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def plausible(percent: int):
+    """An Arrow UDF: whether two sketches differ in few enough bits for a link. It never drops a link."""
+
+    @F.arrow_udf("boolean")
+    def near(a: pa.Array, b: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
+        out = []
+        for x, y, i, j in zip(a.to_pylist(), b.to_pylist(), n.to_pylist(), m.to_pylist(), strict=True):
+            small_, large = sorted((x, y), key=len)
+            p, q, size = int.from_bytes(small_, "little"), int.from_bytes(large, "little"), len(large)
+            while size > len(small_):  # fold the longer sketch
+                size //= 2
+                q = (q >> 8 * size) ^ (q & (1 << 8 * size) - 1)
+            out.append((p ^ q).bit_count() <= i + j - 2 * needed(i, j, percent))
+        return pa.array(out, pa.bool_())
+
+    return near
 
 
 def summarise(k: int):
@@ -119,7 +146,7 @@ def summarise(k: int):
             for rows, data, offsets in text_slices(whole):
                 sets = Sets(data, offsets, k)
                 k1, k2 = sets.keys()
-                yield batch(_BASE, np.zeros(len(k1), np.int32), rows.column(0), sets.sizes, k1, k2)
+                yield batch(_BASE, np.zeros(len(k1), np.int32), rows.column(0), sets.sizes, k1, k2, [sketch(x) for x in sets.sets])
                 seen = np.sort(sets.values)
                 heads = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]])) if len(seen) else np.zeros(0, np.int64)
                 times = np.diff(np.append(heads, len(seen)))
@@ -135,7 +162,7 @@ def summarise(k: int):
             top = np.argpartition(-counts, FREQUENT_TASK)[:FREQUENT_TASK]
             held, counts = held[top], counts[top]
         if len(held):
-            yield batch(_BASE, np.ones(len(held), np.int32), pa.nulls(len(held), pa.int64()), counts, held.view(np.int64), np.zeros(len(held), np.int64))
+            yield batch(_BASE, np.ones(len(held), np.int32), pa.nulls(len(held), pa.int64()), counts, held.view(np.int64), np.zeros(len(held), np.int64), pa.nulls(len(held), pa.binary()))
 
     return run
 
@@ -242,9 +269,12 @@ def shingle_sets(k: int):
     return run
 
 
-def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that link, checked on the whole sets. The texts are cut down to the
-    pairs' documents first."""
+def linked(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that link: first by their sketches, which are 1/50 of the sets, then
+    checked on the whole sets. The texts are cut down to the left pairs' documents first."""
+    side = lambda id_, n, s: sketches.select(F.col("id").alias(id_), F.col("n").alias(n), F.col("sketch").alias(s))
+    pairs = pairs.select("a", "b").join(side("a", "n", "s"), "a").join(side("b", "m", "t"), "b").where(plausible(percent)("s", "t", "n", "m"))
+    pairs = saved(pairs.select("a", "b").distinct(), "plausible")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     ids = F.broadcast(ids) if small(ids, BROADCAST_IDS) else ids
     sets = texts.join(ids, "id", "left_semi").mapInArrow(shingle_sets(k), "id long, shingles array<long>")
@@ -260,7 +290,7 @@ def jaccard_join(documents: DataFrame, id_column: str = "doc_id", text_column: s
     """(id, n_shingles, representative, component): every document with the size of its set, the least id
     with an equal set, and the least id that its links reach."""
     texts = text_rows(documents, id_column, text_column)
-    base = saved(texts.mapInArrow(summarise(k), "kind int, id long, n long, k1 long, k2 long"), "sets")
+    base = saved(texts.mapInArrow(summarise(k), BASE), "sets")
     frequent = base.where("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k1").limit(FREQUENT)
     frequent = np.array([r["k1"] for r in frequent.collect()][::-1], dtype=np.int64).view(U64)
     sizes = base.where(f"kind = 0 and n between 1 and {LIGHT_MOST}").groupBy("n").count().collect()
@@ -270,6 +300,7 @@ def jaccard_join(documents: DataFrame, id_column: str = "doc_id", text_column: s
     first = sets.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("representative"))
     members = sets.join(first, ["k1", "k2", "n"], "left").select("id", "n", F.coalesce("representative", "id").alias("representative"))
     members = saved(members, "members")
+    sketches = base.join(members.where("id = representative").select("id").distinct(), "id", "left_semi").where("kind = 0").select("id", "n", "sketch")
     of = members.where("n > 0 and id is not null").select("id", "representative").distinct()
 
     lists_ = texts.mapInArrow(postings(k, percent, boundary, frequent), POSTINGS)
@@ -292,7 +323,7 @@ def jaccard_join(documents: DataFrame, id_column: str = "doc_id", text_column: s
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     pairs = heavy.join(pivot.select("token", F.col("p.id").alias("b"), F.col("p.n").alias("m")), "token").where(f"id <> b and {fits}")
     pairs = saved(pairs.select(F.col("id").alias("a"), "b").distinct(), "pairs")
-    links = saved(linked(pairs, texts, k, percent).unionByName(light), "links")
+    links = saved(linked(pairs, sketches, texts, k, percent).unionByName(light), "links")
 
     # Second round: members of different components.
     label = components(links)
@@ -305,7 +336,7 @@ def jaccard_join(documents: DataFrame, id_column: str = "doc_id", text_column: s
     rest = rest.select(F.col("id").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti")
     rest = saved(rest.join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
-        label = components(links.unionByName(linked(rest, texts, k, percent)))
+        label = components(links.unionByName(linked(rest, sketches, texts, k, percent)))
 
     out = members.join(label.select(F.col("id").alias("representative"), "component"), "representative", "left")
     return out.select("id", F.col("n").alias("n_shingles"), "representative", F.coalesce("component", "representative").alias("component"))
