@@ -112,7 +112,8 @@ def digest(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
     found_ = secret_spans(text_rows(documents, id_column, text_column), "text").select(F.col("id").alias("doc_id"), "secrets")
     base = F.filter("secrets", lambda s: s["kind"].isin(*BASE))
     join = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
-    counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    of = lambda kind: F.filter("secrets", lambda s: s["kind"] == kind)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE]
     return found_.select("doc_id", *counts, F.sha2(join(base).cast("binary"), 256).alias("base_sha256"), join("secrets").alias("spans"))
 
 
