@@ -39,6 +39,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality import THRESHOLD, held_out, scored
+
+    marked = scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    marked = marked.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score")
+    return marked.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.secrets import digest
 
@@ -57,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_token_counts": op5_token_counts,
+    "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
 }
