@@ -39,6 +39,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality import THRESHOLD, held_out, scored
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_token_counts": op5_token_counts,
+    "op6_warc": op6_warc,
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
