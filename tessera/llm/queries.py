@@ -45,6 +45,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import THRESHOLD, scored
+
+    marked = scored(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    marked = marked.select("doc_id", F.col("toxicity.toxic").alias("score"), F.col("toxicity.junk").alias("junk"), F.col("toxicity.toxic_wellformed").alias("toxic_wellformed"))
+    return marked.withColumn("toxic", F.col("score") >= THRESHOLD)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality import THRESHOLD, held_out, scored
 
@@ -72,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_token_counts": op5_token_counts,
     "op6_warc": op6_warc,
+    "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
