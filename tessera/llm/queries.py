@@ -27,6 +27,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.media import copies, drawn
+
+    return copies(drawn(table(spark, sf_dir, "embeddings")), "id % 100 = 0")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.decontaminate import contamination
 
@@ -77,6 +83,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_media_copies": op3_media_copies,
     "op4_decontaminate": op4_decontaminate,
     "op5_token_counts": op5_token_counts,
     "op6_warc": op6_warc,
