@@ -17,7 +17,7 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.ngram_join import jaccard_join
 
     joined = jaccard_join(table(spark, sf_dir, "documents"))
-    return joined.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "representative")
+    return joined.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,4 +93,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPACED = r"'[^\x20\x09-\x0D]+'"
+ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+FOLDED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+BASE32 = " || ".join(f"substr('{UPPER}234567', (((('0x' || substr(h, {5 * k + 1}, 5))::BIGINT) >> {shift}) & 31)::INT + 1, 1)" for k in range(8) for shift in (15, 10, 5, 0))
+
+#: What SQL can state in reasonable time.
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({FOLDED}, {SPACED}) AS a FROM documents),
+ s AS (SELECT DISTINCT doc_id, md5(array_to_string(a[i : i + 3], ' ')) AS g FROM (SELECT doc_id, a, unnest(generate_series(1, greatest(len(a) - 3, 1))) AS i FROM w WHERE len(a) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+ r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id
+ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS b FROM r GROUP BY 1) m ON m.a = d.doc_id""",
+    "op2_substring_dedup": f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {SPACED}) AS a FROM documents),
+ h AS (SELECT doc_id, i, md5(array_to_string(a[i : i + 34], ' ')) AS h FROM (SELECT doc_id, a, unnest(generate_series(1, len(a) - 34)) AS i FROM w WHERE len(a) >= 35)),
+ r AS (SELECT h FROM h GROUP BY 1 HAVING count(*) > 1),
+ c AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(generate_series(i, i + 34)) AS p FROM h WHERE h IN (SELECT h FROM r))),
+ k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS kept FROM (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) AS p FROM w) z ANTI JOIN c USING (doc_id, p) GROUP BY 1),
+ m AS (SELECT doc_id, count(*) AS n FROM c GROUP BY 1)
+ SELECT w.doc_id, len(a)::BIGINT AS n_words, coalesce(m.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN m USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op4_decontaminate": f"""WITH b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({FOLDED}, {ALNUM}) AS a FROM benchmark),
+ bw AS (SELECT DISTINCT item, size, array_to_string(a[i : i + size - 1], ' ') AS g FROM (SELECT item, a, least(13, len(a)) AS size, unnest(generate_series(1, len(a) - least(13, len(a)) + 1)) AS i FROM b WHERE len(a) > 0)),
+ w AS (SELECT doc_id, regexp_extract_all({FOLDED}, {ALNUM}) AS a FROM documents),
+ dw AS (SELECT doc_id, size, i, array_to_string(a[i : i + size - 1], ' ') AS g FROM (SELECT doc_id, a, size, unnest(generate_series(1, len(a) - size + 1)) AS i FROM w, (SELECT DISTINCT size FROM bw) WHERE len(a) >= size)),
+ m AS (SELECT doc_id, size, i, item FROM dw JOIN bw USING (size, g)),
+ h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + size - 1)) AS p FROM m) GROUP BY 1),
+ t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY 1)
+ SELECT w.doc_id, len(a)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+ coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(a) AS contaminated FROM w LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op6_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), f AS (SELECT page_id, html, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, {BASE32} AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f""",
+}
