@@ -12,9 +12,22 @@ def as_long(df: DataFrame, column: str):
     return F.col(f"`{column}`").cast("long")
 
 
+#: Rows of an Arrow batch: a batch of long texts must fit beside the others of an executor's tasks.
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows, so that tasks hold few texts at a time."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
+        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    return df
+
+
 def text_rows(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, text) alone, under fixed names, whatever else the table holds."""
-    return df.select(as_long(df, id_column).alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    return bounded(df).select(as_long(df, id_column).alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import lists, text_rows
+from tessera.llm.arrow import bounded, lists, text_rows
 from tessera.llm.words import ALNUM, Words, ragged, text_slices
 
 WINDOW = 13
@@ -212,7 +212,7 @@ def verbatim_matches(documents: DataFrame, benchmark: DataFrame, text_column: st
     beside the other, in the same pass."""
     text = F.col(f"`{text_column}`").cast("string")
     blocks = item_blocks(benchmark, **options)
-    found = documents.withColumns({f"{into}_{k}": spans_of(block)(text) for k, block in enumerate(blocks)})
+    found = bounded(documents).withColumns({f"{into}_{k}": spans_of(block)(text) for k, block in enumerate(blocks)})
     joined = {c: F.concat(*[F.col(f"{into}_{k}.{c}") for k in range(len(blocks))]).alias(c) for c in ("starts", "lengths", "items")}
     return found.withColumn(into, F.struct(F.col(f"{into}_0.n_words").alias("n_words"), *joined.values())).drop(*[f"{into}_{k}" for k in range(len(blocks))])
 

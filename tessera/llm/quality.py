@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import as_long, batch
+from tessera.llm.arrow import as_long, batch, bounded
 from tessera.llm.words import NON_SPACE, Words, span_hashes, text_slices
 
 SAMPLE = 4000
@@ -234,7 +234,7 @@ def sampled(documents: DataFrame, labels: DataFrame, label: str, most: int, id_c
     """(id, y, text) of at most so many labelled documents: those whose id has the least hash."""
     known = labels.select(as_long(labels, id_column).alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where("id is not null and y in (0, 1)")
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most)
-    texts = documents.select(as_long(documents, id_column).alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    texts = bounded(documents).select(as_long(documents, id_column).alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     return texts.join(F.broadcast(known), "id").select("id", "y", "text")
 
 
@@ -279,7 +279,7 @@ def held_out(id_):
 def scored(documents: DataFrame, labels: DataFrame, into: str = "score", text_column: str = "text", **options) -> DataFrame:
     """The documents with the quality of their text (0 to 1)."""
     model = train(documents, trainable(labels), text_column=text_column, **options)
-    return documents.withColumn(into, scorer(model)(F.col(f"`{text_column}`").cast("string")))
+    return bounded(documents).withColumn(into, scorer(model)(F.col(f"`{text_column}`").cast("string")))
 
 
 def good_documents(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import batch, text_rows
+from tessera.llm.arrow import bounded, text_rows
 from tessera.llm.automaton import Automaton, alt, chars, compile_rules, opt, repeat, scan, seq, star, word
 from tessera.llm.words import text_slices
 
@@ -104,7 +104,7 @@ def finder():
 
 def secret_spans(documents: DataFrame, text_column: str = "text", into: str = "secrets") -> DataFrame:
     """The documents with a column of spans (kind, start, stop)."""
-    return documents.withColumn(into, finder()(F.col(f"`{text_column}`").cast("string")))
+    return bounded(documents).withColumn(into, finder()(F.col(f"`{text_column}`").cast("string")))
 
 
 def digest(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -135,4 +135,4 @@ def redacted(documents: DataFrame, text_column: str = "text", mark: str = "[secr
                 out[at + d] = "".join([*kept, text[end:]])
         return pa.array(out, type=pa.string())
 
-    return documents.withColumn(text_column, redact(F.col(f"`{text_column}`").cast("string")))
+    return bounded(documents).withColumn(text_column, redact(F.col(f"`{text_column}`").cast("string")))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import batch, lists, saved, text_rows
+from tessera.llm.arrow import batch, bounded, lists, saved, text_rows
 from tessera.llm.words import NON_SPACE, U64, Words, gram_hashes, gram_starts, mix, ragged, text_slices
 
 WINDOW = 35
@@ -125,19 +125,20 @@ def level(length: int, window: int):
                 if not len(first):
                     continue
                 doc = np.searchsorted(words.bounds, first, "right") - 1
-                by = np.lexsort((extent, gram))
+                key, at = np.asarray(rows.column(rows.schema.get_field_index("key")))[doc], first - words.bounds[doc]
+                by = np.lexsort((at, key, extent, gram))
                 gram, extent = gram[by], extent[by]
                 place = np.empty(len(by), _PLACE)
-                place["key"] = np.asarray(rows.column(rows.schema.get_field_index("key")))[doc[by]]
-                place["first"], place["size"] = first[by] - words.bounds[doc[by]], size[by]
+                place["key"], place["first"], place["size"] = key[by], at[by], size[by]
                 head = np.ones(len(by), bool)
                 head[1:] = (gram[1:] != gram[:-1]) | (extent[1:] != extent[:-1])
                 heads = np.flatnonzero(head)
                 n = np.add.reduceat(weight[first[by]], heads)
-                others = np.diff(np.append(heads, len(by))) - 1
+                other = ~head  # further places; equal texts have the same key and places, which one row stands for
+                other[1:] &= (place["key"][1:] != place["key"][:-1]) | (place["first"][1:] != place["first"][:-1])
                 ends = np.zeros(len(heads) + 1, np.int32)
-                np.cumsum(others * _PLACE.itemsize, out=ends[1:])
-                more = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(ends), pa.py_buffer(place[~head].tobytes())])
+                np.cumsum(np.add.reduceat(other.astype(np.int64), heads) * _PLACE.itemsize, out=ends[1:])
+                more = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(ends), pa.py_buffer(place[other].tobytes())])
                 lead = place[heads]
                 yield batch(_RUNS, gram[heads].view(np.int64), extent[heads].view(np.int64), n, np.ascontiguousarray(lead["key"]), np.ascontiguousarray(lead["first"]), np.ascontiguousarray(lead["size"]), more)
 
@@ -186,7 +187,7 @@ def by_key(texts: DataFrame, found: DataFrame, column: str, how: str) -> DataFra
 def repeated_ranges(documents: DataFrame, text_column: str = "text", window: int = WINDOW) -> DataFrame:
     """(key, ranges): for every text with repeated windows, its key (xxhash64 of the text) and the word
     ranges that they cover."""
-    texts = documents.select(F.col(f"`{text_column}`").cast("string").alias("text")).where("text is not null")
+    texts = bounded(documents).select(F.col(f"`{text_column}`").cast("string").alias("text")).where("text is not null")
     texts = texts.withColumn("key", F.xxhash64("text"))
     gram, extent = Window.partitionBy("h"), Window.partitionBy("h", "hs")
     settled, rows = None, texts

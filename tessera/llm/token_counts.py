@@ -32,7 +32,7 @@ from tessera.llm.words import ragged, span_hashes
 
 LIMIT = 2048
 REMEMBERED = 1 << 20
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
 
 #: Code points with the White_Space property (fixed values).
 WHITE_SPACE = (9, 10, 11, 12, 13, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)

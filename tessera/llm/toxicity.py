@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import as_long, batch, lists, saved
+from tessera.llm.arrow import as_long, batch, bounded, lists, saved
 from tessera.llm.words import ALNUM, U64, Words, span_hashes, text_slices
 
 SAMPLE = 6000
@@ -202,7 +202,7 @@ def train(documents: DataFrame, labels: DataFrame, categories: dict[str, str] |
     values = F.array(*[F.expr(f"coalesce(cast(({e}) as int), 0)") for e in categories.values()])
     known = labels.select(as_long(labels, id_column).alias("id"), values.alias("y")).where("id is not null")
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    texts = documents.select(as_long(documents, id_column).alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    texts = bounded(documents).select(as_long(documents, id_column).alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     rows = texts.join(F.broadcast(known), "id").select("id", F.expr("pmod(xxhash64(id, 7), 1000)").alias("fold"), "y", "text")
     rows = saved(rows.mapInArrow(_sample_features, SAMPLED), "sample")
     lead = rows.groupBy("key").agg(F.min("id").alias("id")).select("id")
@@ -229,4 +229,4 @@ def scorer(chain: Chain):
 def scored(documents: DataFrame, labels: DataFrame, into: str = "toxicity", text_column: str = "text", **options) -> DataFrame:
     """The documents with a struct of category probabilities."""
     chain = train(documents, labels, text_column=text_column, **options)
-    return documents.withColumn(into, scorer(chain)(F.col(f"`{text_column}`").cast("string")))
+    return bounded(documents).withColumn(into, scorer(chain)(F.col(f"`{text_column}`").cast("string")))

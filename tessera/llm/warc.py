@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import as_long, batch, saved, shared_dir, small
+from tessera.llm.arrow import as_long, batch, bounded, saved, shared_dir, small
 
 CHUNK = 1 << 20
 ARCHIVE_BYTES = 1 << 30
@@ -107,7 +107,7 @@ def writer(folder: str, level: int):
 def write_archives(pages: DataFrame, folder: str | None = None, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", level: int = 1) -> DataFrame:
     """Writes the pages as archives in the shared store; returns the manifest (path, records, bytes)."""
     html = F.coalesce(F.col(f"`{payload_column}`").cast("string"), F.lit(""))
-    rows = pages.select(as_long(pages, id_column).alias("id"), F.col(f"`{url_column}`").cast("string").alias("url"), html.alias("html"))
+    rows = bounded(pages).select(as_long(pages, id_column).alias("id"), F.col(f"`{url_column}`").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary")))).withColumn("size", F.octet_length("html"))
     keys = rows.select("id", "digest", "size")
     first = keys.groupBy("digest", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
