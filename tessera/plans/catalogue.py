@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import chunks, parse, text
+from tessera.functions import cards, chunks, parse, text
 from tessera.operators import audit, dense, fusion, gate, lexical, match, metrics, tree
 from tessera.sources.store import json_lines, table
 from tessera.streaming import windows
@@ -782,3 +782,110 @@ def related_items(t):
 @query("sigmoid_scores", "SELECT event_id, round(1 / (1 + exp(-(value - 50) / 10)), 6) AS p FROM events")
 def sigmoid_scores(t):
     return t("events").select("event_id", F.round(text.sigmoid((F.col("value") - 50) / 10), 6).alias("p"))
+
+
+@query("contextual_header", "WITH c AS (SELECT doc_id, 'DOC-' || doc_id AS a, CASE WHEN doc_id % 3 > 0 THEN source END AS b, CASE WHEN lang = 'fr' THEN 'Other' ELSE upper(lang) END AS s FROM documents) SELECT doc_id, '[' || concat_ws(' | ', a, b, CASE WHEN s <> 'Other' THEN s END) || ']' AS header FROM c")
+def contextual_header(t):
+    section = F.when(F.col("lang") == "fr", "Other").otherwise(F.upper("lang"))
+    subject = F.when(F.col("doc_id") % 3 > 0, F.col("source"))
+    return t("documents").select("doc_id", cards.contextual_header(F.concat(F.lit("DOC-"), "doc_id"), subject, section).alias("header"))
+
+
+@query("card_text", "SELECT s_suppkey, concat_ws(chr(10), 'Name: ' || s_name, CASE WHEN n_nationkey % 2 = 0 THEN 'Nation: ' || n_name END) AS card, concat_ws('; ', s_name, n_name) AS row FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def card_text(t):
+    rows = t("supplier").join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    card = cards.card_text({"Name": F.col("s_name"), "Nation": F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name"))})
+    return rows.select("s_suppkey", card.alias("card"), cards.card_row(F.array("s_name", F.lit(""), "n_name")).alias("row"))
+
+
+@query("readable_status", "SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'complete' WHEN quality = 1 THEN 'searchable' END AS status FROM labels")
+def readable_status(t):
+    return t("labels").select("doc_id", cards.readable_status({"a": F.col("quality") == 1, "b": F.col("toxic") == 0}, ["a"]).alias("status"))
+
+
+@query("effective_plan", "WITH u AS (SELECT user_id, max(ts) AS last, CASE WHEN user_id % 3 = 0 THEN NULL WHEN user_id % 3 = 1 THEN 'pro' ELSE 'standard' END AS plan FROM events GROUP BY user_id) SELECT user_id, CASE WHEN coalesce(last <= TIMESTAMP '2024-01-29', false) THEN 'free' ELSE coalesce(plan, 'free') END AS plan FROM u")
+def effective_plan(t):
+    users = t("events").groupBy("user_id").agg(F.max("ts").alias("last"))
+    plan = F.when(F.col("user_id") % 3 == 0, None).when(F.col("user_id") % 3 == 1, "pro").otherwise("standard")
+    return users.select("user_id", cards.effective_plan(plan, F.col("last"), F.lit("2024-01-29").cast("timestamp_ntz")).alias("plan"))
+
+
+@query("plan_histogram", "WITH u AS (SELECT DISTINCT user_id, CASE WHEN user_id % 4 = 0 THEN 'pro' WHEN user_id % 4 = 1 THEN 'premium' ELSE 'free' END AS plan FROM events) SELECT CASE WHEN plan IN ('pro', 'premium') THEN 'paid' ELSE plan END AS plan, count(*) AS n FROM u GROUP BY 1")
+def plan_histogram(t):
+    users = t("events").select("user_id").distinct()
+    plan = F.when(F.col("user_id") % 4 == 0, "pro").when(F.col("user_id") % 4 == 1, "premium").otherwise("free")
+    return users.groupBy(F.when(plan.isin("pro", "premium"), "paid").otherwise(plan).alias("plan")).agg(F.count("*").alias("n"))
+
+
+@query("facet_relevance", f"WITH {DENSE_SQL}, m AS (SELECT qid, label, max(score) AS score FROM s GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC) AS rn FROM m) SELECT qid, round(avg(score), 6) AS relevance FROM r WHERE rn <= 2 GROUP BY 1")
+def facet_relevance(t):
+    """The mean of a query's two best facets, each by its best chunk."""
+    best = dense.scores(asked_vectors(t), vectors(t)).groupBy("qid", "label").agg(F.max("score").alias("score"))
+    return best.groupBy("qid").agg(F.round(cards.facet_relevance(F.collect_list("score")), 6).alias("relevance"))
+
+
+@query("fuzzy_words", f"WITH w AS (SELECT DISTINCT unnest({WORDS}) AS word FROM benchmark), t AS (SELECT lower(n_name) AS target FROM nation UNION SELECT unnest(['that', 'there', 'nation', 'estion'])) SELECT word, target, levenshtein(word, target) AS distance FROM w, t WHERE 1 - levenshtein(word, target)::DOUBLE / greatest(length(word), length(target)) >= 0.75")
+def fuzzy_words(t):
+    """Words of query strings that nearly equal a target; the targets are a short list, so every pair is compared."""
+    words = t("benchmark").select(F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("word")).distinct()
+    extra = t("region").sparkSession.createDataFrame([("that",), ("there",), ("nation",), ("estion",)], "target string")
+    targets = t("nation").select(F.lower("n_name").alias("target")).union(extra).distinct()
+    distance = F.levenshtein("word", "target")
+    near = 1 - distance / F.greatest(F.length("word"), F.length("target")) >= 0.75
+    return words.join(F.broadcast(targets.limit(1000)), near).select("word", "target", distance.alias("distance"))
+
+
+@query("quota_with_refunds", "SELECT user_id, ts::DATE::VARCHAR AS day, sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END)::BIGINT AS used FROM events GROUP BY 1, 2")
+def quota_with_refunds(t):
+    delta = F.when(F.col("event_type") == "error", -1).otherwise(1)
+    return t("events").groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.sum(delta).alias("used"))
+
+
+@query("ready_stores", "SELECT 'documents' AS store, count(*) > 0 AS ready FROM documents UNION ALL SELECT 'embeddings', count(*) > 0 FROM embeddings WHERE label > 100")
+def ready_stores(t):
+    """Whether each store holds anything; reads a row at most."""
+    out = None
+    for name, rows in (("documents", t("documents")), ("embeddings", t("embeddings").where("label > 100"))):
+        one = rows.limit(1).agg(F.lit(name).alias("store"), (F.count("*") > 0).alias("ready"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("recent_jobs", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 5")
+def recent_jobs(t):
+    return t("events").select("event_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(5)
+
+
+@query("message_index", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations")
+def message_index(t):
+    own = Window.partitionBy("conv_id").orderBy("turn")
+    return t("conversations").select("conv_id", "turn", (F.row_number().over(own) - 1).alias("idx"), F.lag("role").over(own).alias("before"))
+
+
+@query("seed_upsert", "SELECT coalesce(n.k, o.k) AS k, coalesce(n.v, o.v) AS v FROM (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey <= 50) o FULL JOIN (SELECT s_suppkey * 3 AS k, s_name AS v FROM supplier) n ON n.k = o.k")
+def seed_upsert(t):
+    """New values win, old rows stay, nothing is deleted."""
+    old = t("customer").where("c_custkey <= 50").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("old"))
+    new = t("supplier").select((F.col("s_suppkey") * 3).alias("k"), F.col("s_name").alias("new"))
+    return old.join(new, "k", "full").select("k", F.coalesce("new", "old").alias("v"))
+
+
+@query("mapping_rows", "SELECT label::BIGINT AS node, count(*) AS chunk_count, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS vector_ids FROM embeddings GROUP BY 1")
+def mapping_rows(t):
+    """One row for each node: its vectors' ids in order, and how many."""
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("vec_id")), lambda v: v.cast("string")), ",")
+    return t("embeddings").groupBy(F.col("label").alias("node")).agg(F.count("*").alias("chunk_count"), ids.alias("vector_ids"))
+
+
+CAPTION = "PRESENT:\nMr. Justice A. B. KHAN, CJ\n1. Ahmad Ali and others\n...Appellants\nVersus\nThe State\nFor the appellants: Mr. Zia Ud Din, ASC\n"
+
+
+@query("captions")
+def captions(t):
+    c = F.concat(F.lit(CAPTION), "text")
+    return t("benchmark").select("item_id", cards.bench_of(c).alias("bench"), cards.parties_of(c).alias("parties"), cards.counsel_of(c).alias("counsel"))
+
+
+@query("query_types")
+def query_types(t):
+    return t("benchmark").select("item_id", cards.query_type_of(F.col("text")).alias("type"), cards.category_of(F.col("text")).alias("category"), cards.numbers_of(F.col("text")).alias("numbers"))
