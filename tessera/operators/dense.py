@@ -61,3 +61,14 @@ def adaptive_topk(queries: DataFrame, vectors: DataFrame, share: float, least: i
     n = vectors.agg(F.count("*").alias("n"))
     ranked = scores(queries, vectors).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("id"))))
     return ranked.crossJoin(F.broadcast(n)).where(F.col("rank") <= pool_size(F.col("n"), share, least, most)).drop("n")
+
+
+def top_up(scored: DataFrame, have: DataFrame, need: int) -> DataFrame:
+    """Up to ``need`` more chunks of each query's document: nodes not seen yet first, then any, by score.
+    scored: (qid, doc, node, id, score); have: (qid, doc, node, id)."""
+    fresh = scored.join(have.select("qid", "id"), ["qid", "id"], "left_anti")
+    seen = have.select("qid", "doc", "node").distinct().withColumn("seen", F.lit(True))
+    fresh = fresh.join(seen, ["qid", "doc", "node"], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+    nth = F.row_number().over(Window.partitionBy("qid", "doc", "node").orderBy(F.desc("score"), F.asc("id")))
+    fresh = fresh.withColumn("repeat", F.col("seen") | (nth > 1))
+    return top(fresh, need, ["qid", "doc"], [F.asc("repeat"), F.desc("score"), F.asc("id")]).drop("seen", "repeat")

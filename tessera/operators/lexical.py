@@ -103,3 +103,22 @@ def near_match(docs: DataFrame, id_column: str, text: Column, first: str, second
     sides = words.groupBy("id").agg(F.collect_list(F.when(F.col("term") == first, F.col("pos"))).alias("p"), F.collect_list(F.when(F.col("term") == second, F.col("pos"))).alias("q"))
     close = F.aggregate("p", F.lit(0), lambda s, a: s + F.size(F.filter("q", lambda b: F.abs(a - b) - 1 <= between)))
     return sides.select("id", close.cast("long").alias("hits")).where("hits > 0")
+
+
+def stemmed_topk(docs: DataFrame, id_column: str, text_column: str, terms: DataFrame, k: int) -> DataFrame:
+    """BM25 on stems without diacritics: the terms of documents and queries (qid, term) are mapped through a table
+    of the distinct terms' stems."""
+    from tessera.functions.stem import stemmed
+
+    words = docs.select(F.col(id_column).alias("id"), F.posexplode(tokens(F.col(text_column))).alias("pos", "term"))
+    stems = stemmed(words.select("term").unionByName(terms.select("term")))
+    asked = terms.join(stems, "term").select("qid", F.col("stem").alias("term")).distinct()
+    flat = words.join(stems, "term").select("id", F.col("stem").alias("term"))
+    length = words.groupBy("id").agg(F.count("*").alias("dl"))
+    tf = flat.join(asked.select("term").distinct(), "term").groupBy("id", "term").agg(F.count("*").cast("double").alias("tf")).join(length, "id")
+    figures = docs.agg(F.count("*").alias("n")).crossJoin(length.agg(F.sum("dl").alias("tokens"))).select("n", (F.col("tokens") / F.col("n")).alias("avgdl"))
+    raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(figures)).select("term", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"), "avgdl")
+    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = tf.join(idf, "term").select("id", "term", gain.alias("gain")).join(asked, "term").groupBy("qid", "id").agg(F.round(F.sum("gain"), 6).alias("score"))
+    return top(scored, k, ["qid"], [F.desc("score"), F.asc("id")])

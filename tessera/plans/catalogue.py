@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import cards, chunks, parse, text
+from tessera.functions import cards, chunks, parse, segments, text
 from tessera.operators import audit, dense, fusion, gate, lexical, match, metrics, tree
 from tessera.sources.store import json_lines, table
 from tessera.streaming import windows
@@ -889,3 +889,50 @@ def captions(t):
 @query("query_types")
 def query_types(t):
     return t("benchmark").select("item_id", cards.query_type_of(F.col("text")).alias("type"), cards.category_of(F.col("text")).alias("category"), cards.numbers_of(F.col("text")).alias("numbers"))
+
+
+@query("bm25_stemmed")
+def bm25_stemmed(t):
+    return lexical.stemmed_topk(t("documents"), "doc_id", "text", terms_of(t), 5)
+
+
+@query(
+    "evidence_top_up",
+    f"""WITH {DENSE_SQL}, a AS (SELECT qid, label AS doc, id // 4 AS node, id, score, row_number() OVER (PARTITION BY qid, label ORDER BY score DESC, id) AS rn FROM s), h AS (SELECT * FROM a WHERE rn <= 2),
+f AS (SELECT *, (qid, doc, node) IN (SELECT (qid, doc, node) FROM h) OR row_number() OVER (PARTITION BY qid, doc, node ORDER BY score DESC, id) > 1 AS again FROM a WHERE rn > 2)
+SELECT qid, doc, node, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, doc ORDER BY again, score DESC, id) AS rank FROM f) WHERE rank <= 2""",
+)
+def evidence_top_up(t):
+    """Two more chunks of each document beside its best two."""
+    rows = dense.scores(asked_vectors(t), vectors(t)).withColumnRenamed("label", "doc").withColumn("node", F.expr("id div 4"))
+    have = lexical.top(rows, 2, ["qid", "doc"], [F.desc("score"), F.asc("id")]).select("qid", "doc", "node", "id")
+    return dense.top_up(rows, have, 2).select("qid", "doc", "node", "id", "score", "rank")
+
+
+FORM = "Title\nBriefly the facts are these.\nLearned counsel spoke.\nWe have heard them.\nFor the above reasons the appeal is dismissed, no order as to costs.\n"
+
+
+@query("segment_sections")
+def segment_sections(t):
+    docs = t("benchmark").select("item_id", F.concat(F.lit(FORM), "text").alias("text"))
+    return segments.sections(segments.paragraphs(docs, "item_id", "text"))
+
+
+@query("parse_quality")
+def parse_quality(t):
+    docs = t("benchmark").select("item_id", F.concat(F.lit(FORM), "text").alias("text"))
+    return segments.quality(segments.sections(segments.paragraphs(docs, "item_id", "text")))
+
+
+@query("wave_candidates", "SELECT d.doc_id, d.n_chars FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id AND l.quality = 1 WHERE l.doc_id IS NULL AND d.lang = 'en'")
+def wave_candidates(t):
+    """Searchable documents without a current card."""
+    current = t("labels").where("quality = 1").select("doc_id")
+    return t("documents").where("lang = 'en'").join(current, "doc_id", "left_anti").select("doc_id", "n_chars")
+
+
+@query("judgment_texts", "SELECT source, string_agg(substr(text, 1, 20), chr(10) ORDER BY doc_id) AS text FROM documents WHERE doc_id < 200 GROUP BY 1")
+def judgment_texts(t):
+    """The texts of a group in the order of their ids, joined."""
+    parts = F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 20).alias("t"))))
+    return t("documents").where("doc_id < 200").groupBy("source").agg(F.array_join(F.transform(parts, lambda s: s["t"]), "\n").alias("text"))
