@@ -198,9 +198,9 @@ def verdicts():
     """An Arrow UDF: the rule's verdict from a document's words and matched spans."""
 
     @F.arrow_udf(VERDICT)
-    def verdict(n_words: pa.Array, starts: pa.Array, lengths: pa.Array, items: pa.Array) -> pa.Array:
+    def verdict(matches: pa.Array) -> pa.Array:
         clean, names = judge(0, (), (), ()), [f.name for f in _VERDICT]
-        rows = [judge(n, s, w, i) if s else clean for n, s, w, i in zip(*(x.to_pylist() for x in (n_words, starts, lengths, items)), strict=True)]
+        rows = [judge(n, s, w, i) if s else clean for n, s, w, i in zip(*(matches.field(k).to_pylist() for k in ("n_words", "starts", "lengths", "items")), strict=True)]
         return pa.array([dict(zip(names, r, strict=True)) for r in rows], type=_VERDICT)
 
     return verdict
@@ -213,6 +213,8 @@ def verbatim_matches(documents: DataFrame, benchmark: DataFrame, text_column: st
     text = F.col(f"`{text_column}`").cast("string")
     blocks = item_blocks(benchmark, **options)
     found = bounded(documents).withColumns({f"{into}_{k}": spans_of(block)(text) for k, block in enumerate(blocks)})
+    if len(blocks) == 1:
+        return found.withColumnRenamed(f"{into}_0", into)
     joined = {c: F.concat(*[F.col(f"{into}_{k}.{c}") for k in range(len(blocks))]).alias(c) for c in ("starts", "lengths", "items")}
     return found.withColumn(into, F.struct(F.col(f"{into}_0.n_words").alias("n_words"), *joined.values())).drop(*[f"{into}_{k}" for k in range(len(blocks))])
 
@@ -220,12 +222,12 @@ def verbatim_matches(documents: DataFrame, benchmark: DataFrame, text_column: st
 def contamination(documents: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every document."""
     found = verbatim_matches(text_rows(documents, id_column, text_column), benchmark, **options)
-    found = found.select("id", "matches").withColumn("v", verdicts()("matches.n_words", "matches.starts", "matches.lengths", "matches.items"))
+    found = found.select("id", "matches").withColumn("v", verdicts()("matches"))
     return found.select(F.col("id").alias("doc_id"), F.col("matches.n_words").alias("n_words"), "v.n_hit", "v.n_items", "v.items_sha256", "v.contaminated")
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, text_column: str = "text", **options) -> DataFrame:
     """The documents, all their columns, without the contaminated ones."""
     found = verbatim_matches(documents, benchmark, text_column, "__m", **options)
-    verdict = verdicts()("__m.n_words", "__m.starts", "__m.lengths", "__m.items")
+    verdict = verdicts()("__m")
     return found.where(~verdict["contaminated"]).select(*[F.col(f"`{c}`") for c in documents.columns])

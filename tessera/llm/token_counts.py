@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow import batch, text_rows
-from tessera.llm.words import ragged, span_hashes
+from tessera.llm.words import ragged, span_hashes, trim
 
 LIMIT = 2048
 REMEMBERED = 1 << 20
@@ -262,6 +262,7 @@ def char_slices(column: pa.Array, most: int = SLICE_CHARS) -> Iterator[tuple[int
             texts, size, first = [], 0, k + 1
     if texts:
         yield first, texts
+    trim()
 
 
 _COUNTED = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])

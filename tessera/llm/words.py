@@ -6,6 +6,7 @@ memory does not depend on the size of a partition. Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, where the C library can: workers live on between tasks."""
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give is not None:
+        give(0)
+    pa.default_memory_pool().release_unused()
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Pieces of a batch with about ``most`` text bytes each: (rows, bytes, offsets)."""
     if not batch.num_rows:
@@ -58,6 +67,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_B
         own = offsets[at : to + 1]
         yield batch.slice(at, to - at), data[own[0] : own[-1]], own - own[0]
         at = to
+    trim()
 
 
 class Words:
