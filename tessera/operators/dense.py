@@ -1,11 +1,13 @@
 """Exact vector search: queries in a small side, vectors partitioned, top-k by windows with a pushed limit.
 
-A block of queries meets all vectors in a nested-loop join whose query side Spark broadcasts; callers
-bound a block (``QUERIES``) and run larger query sets in several blocks.
+A block of queries meets all vectors in a nested-loop join whose query side Spark broadcasts. Larger query
+sets are dealt by a hash into blocks of about ``QUERIES`` rows, which together hold every query.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +17,18 @@ from tessera.operators.lexical import top
 QUERIES = 10_000
 
 
-def scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(qid, id, score) of a bounded block of queries (qid, q) against all vectors (id, v, ...)."""
-    block = queries.limit(QUERIES)
+def against(queries: DataFrame, vectors: DataFrame, by: list[str]) -> DataFrame:
+    """Every query (``by``, q) beside every vector, with their score: a broadcast join for each block of queries."""
+    n = max(1, -(-queries.count() // QUERIES))
+    block = F.pmod(F.xxhash64(*by), F.lit(n))
+    parts = [vectors.crossJoin(F.broadcast(queries.where(block == k) if n > 1 else queries)) for k in range(n)]
     rest = [c for c in vectors.columns if c != "v"]
-    return vectors.crossJoin(F.broadcast(block)).select("qid", *rest, F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
+    return reduce(DataFrame.unionAll, parts).select(*by, *rest, F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
+
+
+def scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(qid, id, score) of all queries (qid, q) against all vectors (id, v, ...)."""
+    return against(queries, vectors, ["qid"])
 
 
 def topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
@@ -29,7 +38,7 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 def multi_phrasing(phrasings: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Each phrasing (qid, phrase, q) gives its k nearest; a query's k best by the greatest score of each vector."""
-    each = top(vectors.crossJoin(F.broadcast(phrasings.limit(QUERIES))).select("qid", "phrase", "id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score")), k, ["qid", "phrase"], [F.desc("score"), F.asc("id")])
+    each = top(against(phrasings, vectors, ["qid", "phrase"]), k, ["qid", "phrase"], [F.desc("score"), F.asc("id")])
     merged = each.groupBy("qid", "id").agg(F.max("score").alias("score"))
     return top(merged, k, ["qid"], [F.desc("score"), F.asc("id")])
 
