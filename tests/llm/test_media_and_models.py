@@ -144,3 +144,49 @@ def test_pipeline(spark):
             assert secrets.digest(at).where("n_hex > 0").count() == 0
             assert at.where("n_chars <> length(text)").count() == 0
     assert kept["near_copies"] < kept["quality"] and kept["packing"] >= kept["secrets"]
+
+
+def altered(rng, scenes):
+    """Scenes as they are, cropped off the grid with noise, turned with noise: (id, picture)."""
+    out = []
+    for s in range(scenes):
+        whole = media.draw(s, 0, np.zeros(0)).astype(float)
+        a, b = rng.integers(0, 9, 2)
+        crop = media._resized(whole[None, a : a + 55, b : b + 55].astype(np.float32), 64)[0]
+        for k, x in enumerate((whole, crop + rng.normal(0, 3, (64, 64)), np.rot90(whole) + rng.normal(0, 5, (64, 64)))):
+            out.append((3 * s + k, np.clip(x, 0, 255).astype(np.uint8)))
+    return out
+
+
+def exhaustive(pictures):
+    """(query, match): inliers, by all distances and votes in plain loops."""
+    seen = {i: [x[1:] for x in zip(*media.described(p[None]), strict=True)] for i, p in pictures}
+    bits = {i: np.unpackbits(np.array([[c[4], c[5]] for c in cs], np.int64).view(np.uint8), axis=1) for i, cs in seen.items()}
+    out = {}
+    for q in seen:
+        for m in seen:
+            if q == m:
+                continue
+            cells: dict = {}
+            for a, b in np.argwhere((bits[q][:, None] != bits[m][None]).sum(axis=2) <= media.HAMMING):
+                (qy, qx, ql, qa), (y, x, level, angle) = seen[q][a][:4], seen[m][b][:4]
+                zoom, turn = media.SCALES[ql] / media.SCALES[level], int(angle - qa) % 32
+                t = turn * 2 * np.pi / 32
+                dx, dy = x - zoom * (np.cos(t) * float(qx) - np.sin(t) * float(qy)), y - zoom * (np.sin(t) * float(qx) + np.cos(t) * float(qy))
+                for i in (0, 0.5):
+                    for j in (0, 0.5):
+                        for k in (0, 0.5):
+                            cell = np.sign(level - ql), i, (turn / 4 + i) % 8 // 1, j, (dx / 14 + j) // 1, k, (dy / 14 + k) // 1
+                            cells.setdefault(cell, set()).add(a)
+            n = max(map(len, cells.values()), default=0)
+            if n >= media.INLIERS:
+                out[q, m] = n
+    return out
+
+
+def test_media_copies_are_those_of_all_distances(spark):
+    pictures = altered(np.random.default_rng(5), 12)
+    df = spark.createDataFrame([(i, bytearray(p.tobytes())) for i, p in pictures], "id long, picture binary").repartition(3)
+    want = exhaustive(pictures)
+    assert {(r.query_id, r.match_id): r.inliers for r in media.copies(df, "true").collect()} == want
+    assert {(r.query_id, r.match_id): r.inliers for r in media.copies(df, "id % 5 = 0").collect()} == {k: n for k, n in want.items() if k[0] % 5 == 0}
