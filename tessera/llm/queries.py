@@ -28,9 +28,9 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.media import copies, drawn
+    from tessera.llm.media import drawn, joined
 
-    return copies(drawn(table(spark, sf_dir, "embeddings")), "id % 100 = 0")
+    return joined(drawn(table(spark, sf_dir, "embeddings")))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

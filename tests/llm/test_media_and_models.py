@@ -190,3 +190,20 @@ def test_media_copies_are_those_of_all_distances(spark):
     want = exhaustive(pictures)
     assert {(r.query_id, r.match_id): r.inliers for r in media.copies(df, "true").collect()} == want
     assert {(r.query_id, r.match_id): r.inliers for r in media.copies(df, "id % 5 = 0").collect()} == {k: n for k, n in want.items() if k[0] % 5 == 0}
+
+
+def test_media_query_has_every_picture(spark, tmp_path):
+    from tessera.llm.queries import op3_media_copies
+
+    some = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet").where("vec_id < 42")
+    some.write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = op3_media_copies(spark, str(tmp_path)).collect()
+    assert {r.id for r in rows} == set(range(42))
+    want = {(q, m) for q in range(42) for m in range(q // 4 * 4, min(q // 4 * 4 + 3, 42)) if q % 4 < 3 and q != m}
+    got = {(r.id, r.match_id) for r in rows if r.match_id is not None}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+    twins = media.drawn(some.where("vec_id in (0, 1, 3)")).unionByName(spark.createDataFrame([(None, None)], "id long, picture binary"))
+    twins = twins.unionByName(twins.select((F.col("id") + 100).alias("id"), "picture"))
+    rows = {(r.id, r.class_id, r.class_members, r.match_id) for r in media.joined(twins).collect()}
+    assert rows == {(0, 0, 2, 1), (100, 0, 2, 1), (1, 1, 2, 0), (101, 1, 2, 0), (3, 3, 2, None), (103, 3, 2, None)}
