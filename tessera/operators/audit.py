@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import last_year, nearest_rank
+from tessera.functions.text import last_year
 
 
 def store_audit(docs: DataFrame, stores: dict[str, DataFrame], required: list[str]) -> DataFrame:
@@ -53,10 +54,18 @@ def next_id(df: DataFrame, column: str, first: int = 1001) -> DataFrame:
 
 def stage_stats(df: DataFrame, by: str, value: str) -> DataFrame:
     """n, total, mean, nearest-rank p50 and p95, and the greatest value, for each stage."""
-    held = F.collect_list(value)
-    return df.groupBy(by).agg(
-        F.count(value).alias("n"), F.round(F.sum(value), 4).alias("total"), F.round(F.avg(value), 6).alias("mean"), nearest_rank(held, 0.5).alias("p50"), nearest_rank(held, 0.95).alias("p95"), F.max(value).alias("most")
-    )
+    figures = df.groupBy(by).agg(F.count(value).alias("n"), F.round(F.sum(value), 4).alias("total"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("most"))
+    # ranks come from counts of ranges of values, then of values within the one range that holds the rank: no task holds a group
+    held = df.where(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).alias("x")).groupBy("g", "x").agg(F.count("*").alias("c"))
+    held = held.repartitionByRange("g", "x").withColumn("part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    parts = held.groupBy("g", "part").agg(F.sum("c").alias("c"))
+    parts = parts.withColumn("below", F.sum("c").over(Window.partitionBy("g").orderBy("part")) - F.col("c"))
+    ranks = figures.select(F.col(by).alias("rg"), "n").select("rg", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.bround(F.lit(p) * (F.col("n") - 1), 0).cast("long").alias("at")) for p in (0.5, 0.95)])).alias("r")).select("rg", "r.*")
+    where = parts.join(F.broadcast(ranks), F.expr("g <=> rg and at >= below and at < below + c")).select(F.col("g").alias("wg"), F.col("part").alias("wpart"), "p", "at", "below")
+    found = held.join(F.broadcast(where), F.expr("g <=> wg and part = wpart")).select("g", "p", "x", "c", "at", "below")
+    found = found.withColumn("upto", F.col("below") + F.sum("c").over(Window.partitionBy("g", "p").orderBy("x"))).where("upto > at and upto - c <= at")
+    found = found.groupBy("g").agg(F.max(F.when(F.col("p") == 0.5, F.col("x"))).alias("p50"), F.max(F.when(F.col("p") == 0.95, F.col("x"))).alias("p95"))
+    return figures.join(found, F.col(by).eqNullSafe(F.col("g")), "left").select(by, "n", "total", "mean", "p50", "p95", "most")
 
 
 def year_range(df: DataFrame, text: Column, latest: int) -> DataFrame:
