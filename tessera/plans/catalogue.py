@@ -454,17 +454,17 @@ def chunk_sentences(t):
 
 @query("case_numbers")
 def case_numbers(t):
-    return t("benchmark").select("item_id", parse.case_numbers_of(F.concat(F.lit("Civil Appeals Nos. 12 to 14 of 2019 and "), "text")).alias("keys"))
+    return t("documents").select("doc_id", parse.case_numbers_of(F.col("text")).alias("keys"))
 
 
 @query("statutes")
 def statutes(t):
-    return t("benchmark").select("item_id", parse.statutes_of(F.concat(F.lit("Article 199, Section 302 PPC, Order XXI Rule 10. "), "text")).alias("statutes"))
+    return t("documents").select("doc_id", parse.statutes_of(F.col("text")).alias("statutes"))
 
 
 @query("citations")
 def citations(t):
-    return t("benchmark").select("item_id", parse.citations_of(F.concat(F.lit("PLD 2010 Supreme Court 5; 2011 SCMR 7. "), "text")).alias("citations"))
+    return t("documents").select("doc_id", parse.citations_of(F.col("text")).alias("citations"))
 
 
 @query("outcome_classify")
@@ -479,7 +479,7 @@ def decision_date(t):
 
 @query("spelling")
 def spelling(t):
-    return t("benchmark").select("item_id", parse.spelling_of(F.concat(F.lit("khulla and haq mehr "), "text")).alias("text"))
+    return t("documents").select("doc_id", parse.spelling_of(F.col("text")).alias("text"))
 
 
 DOCS_SPLIT = "SELECT doc_id AS doc, ['FACTS', 'ISSUES', 'ORDER'][(doc_id % 3 + 1)::INT] AS section, substr(text, 1, 120) AS text FROM documents WHERE doc_id < 300 UNION ALL SELECT doc_id, 'HEADER', source FROM documents WHERE doc_id < 300"
@@ -877,13 +877,10 @@ def mapping_rows(t):
     return t("embeddings").groupBy(F.col("label").alias("node")).agg(F.count("*").alias("chunk_count"), ids.alias("vector_ids"))
 
 
-CAPTION = "PRESENT:\nMr. Justice A. B. KHAN, CJ\n1. Ahmad Ali and others\n...Appellants\nVersus\nThe State\nFor the appellants: Mr. Zia Ud Din, ASC\n"
-
-
 @query("captions")
 def captions(t):
-    c = F.concat(F.lit(CAPTION), "text")
-    return t("benchmark").select("item_id", cards.bench_of(c).alias("bench"), cards.parties_of(c).alias("parties"), cards.counsel_of(c).alias("counsel"))
+    c = F.col("text")
+    return t("documents").select("doc_id", cards.bench_of(c).alias("bench"), cards.parties_of(c).alias("parties"), cards.counsel_of(c).alias("counsel"))
 
 
 @query("query_types")
@@ -909,19 +906,14 @@ def evidence_top_up(t):
     return dense.top_up(rows, have, 2).select("qid", "doc", "node", "id", "score", "rank")
 
 
-FORM = "Title\nBriefly the facts are these.\nLearned counsel spoke.\nWe have heard them.\nFor the above reasons the appeal is dismissed, no order as to costs.\n"
-
-
 @query("segment_sections")
 def segment_sections(t):
-    docs = t("benchmark").select("item_id", F.concat(F.lit(FORM), "text").alias("text"))
-    return segments.sections(segments.paragraphs(docs, "item_id", "text"))
+    return segments.sections(segments.paragraphs(t("documents"), "doc_id", "text"))
 
 
 @query("parse_quality")
 def parse_quality(t):
-    docs = t("benchmark").select("item_id", F.concat(F.lit(FORM), "text").alias("text"))
-    return segments.quality(segments.sections(segments.paragraphs(docs, "item_id", "text")))
+    return segments.quality(segments.sections(segments.paragraphs(t("documents"), "doc_id", "text")))
 
 
 @query("wave_candidates", "SELECT d.doc_id, d.n_chars FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id AND l.quality = 1 WHERE l.doc_id IS NULL AND d.lang = 'en'")
