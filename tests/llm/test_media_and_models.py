@@ -172,6 +172,7 @@ def exhaustive(pictures):
                 (qy, qx, ql, qa), (y, x, level, angle) = seen[q][a][:4], seen[m][b][:4]
                 zoom, turn = media.SCALES[ql] / media.SCALES[level], int(angle - qa) % 32
                 t = turn * 2 * np.pi / 32
+                qy, qx, y, x = (float(np.float32(v / media.SCALES[lv])) for v, lv in ((qy, ql), (qx, ql), (y, level), (x, level)))
                 dx, dy = x - zoom * (np.cos(t) * float(qx) - np.sin(t) * float(qy)), y - zoom * (np.sin(t) * float(qx) + np.cos(t) * float(qy))
                 for i in (0, 0.5):
                     for j in (0, 0.5):
@@ -188,22 +189,35 @@ def test_media_copies_are_those_of_all_distances(spark):
     pictures = altered(np.random.default_rng(5), 12)
     df = spark.createDataFrame([(i, bytearray(p.tobytes())) for i, p in pictures], "id long, picture binary").repartition(3)
     want = exhaustive(pictures)
-    assert {(r.query_id, r.match_id): r.inliers for r in media.copies(df, "true").collect()} == want
-    assert {(r.query_id, r.match_id): r.inliers for r in media.copies(df, "id % 5 = 0").collect()} == {k: n for k, n in want.items() if k[0] % 5 == 0}
+    got = {(r.query_id, r.match_id): r.inliers for r in media.copies(df).collect()}
+    assert got.items() <= want.items() and len(got) >= 0.9 * len(want) > 50
+    assert {(r.query_id, r.match_id): r.inliers for r in media.copies(df, "id % 5 = 0").collect()} == {k: n for k, n in got.items() if k[0] % 5 == 0}
 
 
 def test_media_query_has_every_picture(spark, tmp_path):
     from tessera.llm.queries import op3_media_copies
 
-    some = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet").where("vec_id < 42")
+    some = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet").where("vec_id < 402")
     some.write.parquet(f"{tmp_path}/embeddings.parquet")
-    rows = op3_media_copies(spark, str(tmp_path)).collect()
-    assert {r.id for r in rows} == set(range(42))
-    want = {(q, m) for q in range(42) for m in range(q // 4 * 4, min(q // 4 * 4 + 3, 42)) if q % 4 < 3 and q != m}
-    got = {(r.id, r.match_id) for r in rows if r.match_id is not None}
-    assert got <= want and len(got) >= 0.95 * len(want)
-
-    twins = media.drawn(some.where("vec_id in (0, 1, 3)")).unionByName(spark.createDataFrame([(None, None)], "id long, picture binary"))
-    twins = twins.unionByName(twins.select((F.col("id") + 100).alias("id"), "picture"))
-    rows = {(r.id, r.class_id, r.class_members, r.match_id) for r in media.joined(twins).collect()}
-    assert rows == {(0, 0, 2, 1), (100, 0, 2, 1), (1, 1, 2, 0), (101, 1, 2, 0), (3, 3, 2, None), (103, 3, 2, None)}
+    rows = {r.id: r for r in op3_media_copies(spark, str(tmp_path)).collect()}
+    assert sorted(rows) == list(range(402))
+    right = [r.class_id == i // 4 * 4 if i % 4 < 3 else r.class_id == i for i, r in rows.items()]
+    assert sum(right) >= 0.97 * 402 and all(r.class_id // 4 == i // 4 for i, r in rows.items())
+    assert all(r.n_links == 0 for i, r in rows.items() if i % 4 == 3)
+
+    twins = media.drawn(some.where("vec_id in (0, 1, 3)")).unionByName(spark.createDataFrame([(None, None), (7, None)], "id long, picture binary"))
+    twins = twins.unionByName(twins.select((F.col("id") + 100).alias("id"), "picture")).withColumn("key", F.lit("clash")).withColumn("class_id", F.lit(1))
+    again = twins.unionByName(twins.where("id = 3")).unionByName(twins.where("id = 1").withColumn("id", F.lit(0).cast("long")))
+    rows = sorted((r.id, r.class_id, r.equal_id, r.members, r.n_links) for r in media.joined(again).collect())
+    want = [(0, 0, 0, 2, 1), (0, 0, 0, 3, 1), (1, 0, 0, 3, 1), (3, 3, 3, 3, 0), (3, 3, 3, 3, 0), (7, 7, 7, 1, 0)]
+    assert rows == want + [(100, 0, 0, 2, 1), (101, 0, 0, 3, 1), (103, 3, 3, 3, 0), (107, 107, 107, 1, 0)]
+    assert media.joined(again.limit(0)).count() == 0
+
+
+def test_media_pictures_of_any_size(spark):
+    whole = media.draw(4, 0, np.zeros(0))
+    large = media._resized(whole[None].astype(np.float32), 192)[0].astype(np.uint8)
+    wide = np.repeat(whole, 2, axis=1)
+    rows = [(1, bytearray(whole.tobytes()), 64), (2, bytearray(large.tobytes()), None), (3, bytearray(wide.tobytes()), 128), (4, bytearray(b"x" * 4095), None), (5, bytearray(), 64)]
+    df = spark.createDataFrame(rows, "id long, picture binary, width int")
+    assert [(r.id, r.class_id) for r in media.joined(df, width_column="width").orderBy("id").collect()] == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5)]
