@@ -2,8 +2,9 @@
 that runs one transition array over a whole slice of texts.
 
 A rule is a nondeterministic automaton fragment: ``chars``, ``seq``, ``alt``, ``opt``, ``star``,
-``repeat``. ``compile_rules`` joins all rules behind a loop over any byte, so one pass finds where each
-rule's shortest evidence ends, anywhere in a text.
+``repeat``. ``compile_rules`` joins all rules behind a loop over any byte, so one pass finds where
+matches of each rule end, anywhere in a text. Compiled backwards and without the loop, the same rules give the places
+where a match with a known end can start.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def chars(*ranges: str):
         own |= set(range(ord(r[0]), ord(r[2]) + 1)) if len(r) == 3 and r[1] == "-" else {ord(c) for c in r}
     kind = frozenset(own)
 
-    def build(nfa: Nfa, start: int) -> int:
+    def build(nfa: Nfa, start: int, back: bool = False) -> int:
         end = nfa.state()
         nfa.moves[start].append((kind, end))
         return end
@@ -48,27 +49,27 @@ def word(text: str, fold: bool = False):
 
 
 def seq(*parts):
-    def build(nfa: Nfa, start: int) -> int:
-        for p in parts:
-            start = p(nfa, start)
+    def build(nfa: Nfa, start: int, back: bool = False) -> int:
+        for p in reversed(parts) if back else parts:
+            start = p(nfa, start, back)
         return start
 
     return build
 
 
 def alt(*parts):
-    def build(nfa: Nfa, start: int) -> int:
+    def build(nfa: Nfa, start: int, back: bool = False) -> int:
         end = nfa.state()
         for p in parts:
-            nfa.empty[p(nfa, start)].append(end)
+            nfa.empty[p(nfa, start, back)].append(end)
         return end
 
     return build
 
 
 def opt(part):
-    def build(nfa: Nfa, start: int) -> int:
-        end = part(nfa, start)
+    def build(nfa: Nfa, start: int, back: bool = False) -> int:
+        end = part(nfa, start, back)
         out = nfa.state()
         nfa.empty[start].append(out)
         nfa.empty[end].append(out)
@@ -78,10 +79,10 @@ def opt(part):
 
 
 def star(part):
-    def build(nfa: Nfa, start: int) -> int:
+    def build(nfa: Nfa, start: int, back: bool = False) -> int:
         loop = nfa.state()
         nfa.empty[start].append(loop)
-        nfa.empty[part(nfa, loop)].append(loop)
+        nfa.empty[part(nfa, loop, back)].append(loop)
         out = nfa.state()
         nfa.empty[loop].append(out)
         return out
@@ -103,46 +104,68 @@ class Automaton:
     accept: np.ndarray
     width: int
 
+    @property
+    def dead(self) -> int:
+        """The state that accepts nothing and that nothing leaves, -1 for none."""
+        own = np.arange(len(self.accept))
+        stuck = (self.table.reshape(-1, self.width) == own[:, None]).all(axis=1) & (self.accept == 0)
+        return int(np.argmax(stuck)) if stuck.any() else -1
+
     def __len__(self) -> int:
         return len(self.accept)
 
 
-def compile_rules(rules: list) -> Automaton:
-    """One minimal deterministic automaton for "some rule ends here", for all rules together."""
+def compile_rules(rules: list, back: bool = False) -> Automaton:
+    """One minimal deterministic automaton for "some rule ends here", for all rules together; ``back``: for the rules
+    read from a match's end to its start, which ends in the dead state ``dead``."""
     nfa = Nfa()
     start = nfa.state()
     ends = {}
     for k, rule in enumerate(rules):
         own = nfa.state()
         nfa.empty[start].append(own)
-        ends[rule(nfa, own)] = k
+        ends[rule(nfa, own, back)] = k
     kinds: dict[tuple, int] = {}
     sets = sorted({kind for moves in nfa.moves for kind, _ in moves}, key=sorted)
     classes = np.array([kinds.setdefault(tuple(b in s for s in sets), len(kinds)) for b in range(256)])
     sample = {c: b for b, c in reversed(list(enumerate(classes.tolist())))}
 
-    def closed(states) -> frozenset[int]:
-        seen, todo = set(states), list(states)
+    def closed(state: int) -> int:
+        """What empty moves reach from a state, as a mask of states."""
+        seen, todo = 1 << state, [state]
         while todo:
             for t in nfa.empty[todo.pop()]:
-                if t not in seen:
-                    seen.add(t)
+                if not seen >> t & 1:
+                    seen |= 1 << t
                     todo.append(t)
-        return frozenset(seen)
-
-    first = closed([start])
-    number, queue, table, accept = {first: 0}, deque([first]), [], []
+        return seen
+
+    reach = [closed(k) for k in range(len(nfa.empty))]
+    loop = 0 if back else reach[start]
+    step = []  # by state: the columns it moves on, with the states reached
+    for moves in nfa.moves:
+        own: dict[int, int] = {}
+        for kind, t in moves:
+            for c, b in sample.items():
+                if b in kind:
+                    own[c] = own.get(c, 0) | reach[t]
+        step.append(tuple(own.items()))
+    number, queue, table, accept = {reach[start]: 0}, deque([reach[start]]), [], []
     while queue:
-        own = queue.popleft()
-        accept.append(sum(1 << ends[s] for s in own if s in ends))
-        row = []
-        for c in range(len(kinds)):
-            to = closed({t for s in own for kind, t in nfa.moves[s] if sample[c] in kind} | {start})
+        mask, row, rules_here = queue.popleft(), [loop] * len(kinds), 0
+        while mask:
+            low = mask & -mask
+            mask ^= low
+            state = low.bit_length() - 1
+            rules_here |= 1 << ends[state] if state in ends else 0
+            for c, to in step[state]:
+                row[c] |= to
+        accept.append(rules_here)
+        for to in row:
             if to not in number:
                 number[to] = len(number)
                 queue.append(to)
-            row.append(number[to])
-        table.append(row)
+        table.append([number[to] for to in row])
     return _minimal(np.array(table), np.array(accept), classes)
 
 
@@ -202,3 +225,34 @@ def scan(auto: Automaton, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     flat = states.T.ravel()[:n]
     hits = np.flatnonzero(auto.accept[flat] > 0)
     return hits, auto.accept[flat[hits]]
+
+
+STEPS = 4096
+
+
+def starts(auto: Automaton, data: np.ndarray, ends: np.ndarray, rules: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(match, place): from each end (exclusive) the backward automaton reads towards the start; every place where
+    the match's rule can start. All matches step together; the few that are long go on alone."""
+    dead, found_match, found_place = auto.dead, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    live, at, state = np.arange(len(ends)), ends.astype(np.int64) - 1, np.zeros(len(ends), np.int64)
+    for _ in range(STEPS):
+        ok = (at >= 0) & (state != dead)
+        live, at, state = live[ok], at[ok], state[ok]
+        if not len(live):
+            break
+        state = auto.table[state * auto.width + auto.classes[data[at]]].astype(np.int64)
+        hit = auto.accept[state] >> rules[live] & 1 > 0
+        found_match.append(live[hit])
+        found_place.append(at[hit])
+        at = at - 1
+    table, classes, accept = auto.table.tolist(), auto.classes.tolist(), auto.accept.tolist()
+    for m, a, s in zip(live.tolist(), at.tolist(), state.tolist(), strict=True):
+        own, raw, rule = [], data[: a + 1].tobytes(), int(rules[m])
+        while a >= 0 and s != dead:
+            s = table[s * auto.width + classes[raw[a]]]
+            if accept[s] >> rule & 1:
+                own.append(a)
+            a -= 1
+        found_match.append(np.full(len(own), m))
+        found_place.append(np.array(own, np.int64))
+    return np.concatenate(found_match), np.concatenate(found_place)
