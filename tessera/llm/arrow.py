@@ -45,12 +45,15 @@ def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.List
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder path in the store that driver and executors share (spark.checkpoint.dir).
 
-    Where the setting is absent (tests on one machine), a folder beside the warehouse stands in.
+    Where the setting is absent, a folder beside the warehouse stands in if all runs on one machine; a cluster
+    without the setting is an error, as its executors would each write to a disk of their own.
     """
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-shared"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -65,3 +68,29 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int) -> bool:
     """Whether a frame has at most so many rows (stops counting there)."""
     return df.limit(rows + 1).count() <= rows
+
+
+#: Rows of a table with few columns of fixed width that may be broadcast, and the share of all rows from which a key is hot.
+BROADCAST_ROWS, HOT_SHARE = 1_000_000, 100_000
+
+
+def look_up(rows: DataFrame, table: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """Joins rows to a table with one row a key, whose column ``count`` says how many rows have the key.
+
+    A small table is broadcast. Of a larger one only the hot keys are, at most HOT_SHARE of them by their definition;
+    the rest meet in a shuffled join without a hot key.
+    """
+    if small(table, BROADCAST_ROWS):
+        return rows.join(F.broadcast(table), keys, how)
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = table.where(F.col(count) > total / HOT_SHARE)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table, keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
+def inner_name(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken or any(c.startswith(name.lower() + "_") for c in taken):
+        name += "_"
+    return name

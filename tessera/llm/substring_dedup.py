@@ -13,8 +13,9 @@ with one settled run of each extent under that gram, as a witness.
 
 Scale: the first level sends one row for about 14 words; each task first merges equal runs of its
 slice, so a passage in a third of all documents is a few rows a task, not one a document. The gram
-hash is the only shuffle key, and what shuffles later are the survivors. Verdicts come back to the
-texts by a 64-bit text key: broadcast while they have at most ``BROADCAST`` entries, else by a
+hash is the only shuffle key; grams of very many runs are hot and are aggregated instead of gathered in a window.
+What shuffles later are the survivors. Verdicts come back to the
+texts by a 64-bit text key: broadcast while they have at most ``BROADCAST`` bytes, else by a
 shuffled join. Levels are written to the shared folder, so lost executors cost no recomputation.
 
 Defined cases: null or empty texts have no words; equal texts are copies of each other, whatever
@@ -33,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import batch, bounded, lists, saved, text_rows
+from tessera.llm.arrow import HOT_SHARE, batch, bounded, lists, look_up, saved, text_rows
 from tessera.llm.words import NON_SPACE, U64, Words, gram_hashes, gram_starts, mix, ragged, text_slices
 
 WINDOW = 35
-BROADCAST = 3_000_000
+#: Bytes of verdicts that are broadcast, and the runs from which a gram is hot.
+BROADCAST, HOT_RUNS = 64 << 20, 1_000
 
 RUNS = "h long, hs long, n int, key long, first int, size int, more binary"
 _RUNS = pa.schema([("h", pa.int64()), ("hs", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("first", pa.int32()), ("size", pa.int32()), ("more", pa.binary())])
@@ -179,9 +181,28 @@ def covered(window: int):
 
 
 def by_key(texts: DataFrame, found: DataFrame, column: str, how: str) -> DataFrame:
-    """Joins what was found for text keys to the texts: a broadcast up to BROADCAST entries, else a shuffled join."""
-    entries = found.agg(F.sum(F.size(column))).first()[0] or 0
-    return texts.join(F.broadcast(found) if entries <= BROADCAST else found, "key", how)
+    """Joins what was found for text keys to the texts: a broadcast up to BROADCAST bytes, else a shuffled join."""
+    size = found.agg(F.sum(32 + 8 * F.size(column))).first()[0] or 0
+    return texts.join(F.broadcast(found) if size <= BROADCAST else found, "key", how)
+
+
+def weighed(runs: DataFrame) -> DataFrame:
+    """Runs whose gram repeats, with: same, the windows of the run's extent; least, the fewest of an extent of the gram;
+    lead, whether the run stands for its extent. Hot grams are aggregated, the others meet in windows."""
+    total = runs.count()
+    hot = saved(runs.groupBy("h").agg(F.count("*").alias("rows")).where(F.col("rows") > max(HOT_RUNS, total // HOT_SHARE)).select("h"), "hot-grams")
+    gram, extent = Window.partitionBy("h"), Window.partitionBy("h", "hs")
+    cold = runs.join(F.broadcast(hot), "h", "left_anti")
+    cold = cold.withColumn("total", F.sum("n").over(gram)).where("total > 1").drop("total")
+    cold = cold.withColumn("same", F.sum("n").over(extent)).withColumn("first_of", F.min(F.struct("key", "first")).over(extent))
+    cold = cold.withColumn("least", F.min("same").over(gram))
+    if not hot.isEmpty():
+        often = runs.join(F.broadcast(hot), "h", "left_semi")
+        extents = often.groupBy("h", "hs").agg(F.sum("n").alias("same"), F.min(F.struct("key", "first")).alias("first_of"), F.count("*").alias("rows"))
+        extents = saved(extents, "hot-extents")
+        least_ = extents.groupBy("h").agg(F.min("same").alias("least"))
+        cold = cold.unionByName(look_up(often, extents, ["h", "hs"], "rows").drop("rows").join(F.broadcast(least_), "h"))
+    return cold.withColumn("lead", F.col("first_of") == F.struct("key", "first"))
 
 
 def repeated_ranges(documents: DataFrame, text_column: str = "text", window: int = WINDOW) -> DataFrame:
@@ -189,14 +210,10 @@ def repeated_ranges(documents: DataFrame, text_column: str = "text", window: int
     ranges that they cover."""
     texts = bounded(documents).select(F.col(f"`{text_column}`").cast("string").alias("text")).where("text is not null")
     texts = texts.withColumn("key", F.xxhash64("text"))
-    gram, extent = Window.partitionBy("h"), Window.partitionBy("h", "hs")
     settled, rows = None, texts
     for length in level_lengths(window):
-        runs = rows.mapInArrow(level(length, window), RUNS)
-        alive = runs.withColumn("total", F.sum("n").over(gram)).where("total > 1").drop("total")
-        alive = alive.withColumn("same", F.sum("n").over(extent)).withColumn("lead", F.min(F.struct("key", "first")).over(extent))
-        alive = alive.withColumn("least", F.min("same").over(gram)).withColumn("lead", F.col("lead") == F.struct("key", "first"))
-        alive = saved(alive.select("key", "first", "size", "more", "same", "least", "lead"), f"runs-{length}")
+        alive = weighed(saved(rows.mapInArrow(level(length, window), RUNS), f"runs-{length}"))
+        alive = saved(alive.select("key", "first", "size", "more", "same", "least", "lead"), f"alive-{length}")
         done = alive.where("same > 1").select("key", "first", "size", "more").mapInArrow(unpacked, "key long, run long")
         settled = done if settled is None else settled.unionByName(done)
         if length == window:
