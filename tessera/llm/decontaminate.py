@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import bounded, lists, text_rows
+from tessera.llm.arrow import bounded, inner_name, lists, text_rows
 from tessera.llm.words import ALNUM, Words, ragged, text_slices
 
 WINDOW = 13
@@ -227,7 +227,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, id_column: str = "
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, text_column: str = "text", **options) -> DataFrame:
-    """The documents, all their columns, without the contaminated ones."""
-    found = verbatim_matches(documents, benchmark, text_column, "__m", **options)
-    verdict = verdicts()("__m")
-    return found.where(~verdict["contaminated"]).select(*[F.col(f"`{c}`") for c in documents.columns])
+    """The documents, all their columns, without the contaminated ones; every column name may occur."""
+    own = inner_name(documents, "matches")
+    found = verbatim_matches(documents, benchmark, text_column, own, **options)
+    return found.where(~verdicts()(own)["contaminated"]).select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import batch, lists, saved, small, text_rows
+from tessera.llm.arrow import batch, lists, look_up, saved, small, text_rows
 from tessera.llm.components import components
 from tessera.llm.words import NON_SPACE, U64, Words, gram_hashes, join_hashes, mix, text_slices
 
@@ -297,8 +297,8 @@ def jaccard_join(documents: DataFrame, id_column: str = "doc_id", text_column: s
     boundary = light_boundary({r["n"]: r["count"] for r in sizes}, percent)
 
     sets = base.where("kind = 0").select("id", "n", "k1", "k2")
-    first = sets.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("representative"))
-    members = sets.join(first, ["k1", "k2", "n"], "left").select("id", "n", F.coalesce("representative", "id").alias("representative"))
+    first = sets.where("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("representative"), F.count("*").alias("equal"))
+    members = look_up(sets, saved(first, "equal-sets"), ["k1", "k2", "n"], "equal", "left").select("id", "n", F.coalesce("representative", "id").alias("representative"))
     members = saved(members, "members")
     sketches = base.join(members.where("id = representative").select("id").distinct(), "id", "left_semi").where("kind = 0").select("id", "n", "sketch")
     of = members.where("n > 0 and id is not null").select("id", "representative").distinct()

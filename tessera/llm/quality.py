@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import as_long, batch, bounded
+from tessera.llm.arrow import as_long, batch, bounded, inner_name
 from tessera.llm.words import NON_SPACE, Words, span_hashes, text_slices
 
 SAMPLE = 4000
@@ -283,5 +283,6 @@ def scored(documents: DataFrame, labels: DataFrame, into: str = "score", text_co
 
 
 def good_documents(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The documents, all their columns, whose score reaches the threshold."""
-    return scored(documents, labels, "__score", **options).where(F.col("__score") >= threshold).drop("__score")
+    """The documents, all their columns, whose score reaches the threshold; every column name may occur."""
+    own = inner_name(documents, "score")
+    return scored(documents, labels, own, **options).where(F.col(own) >= threshold).drop(own)

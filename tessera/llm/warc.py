@@ -9,7 +9,7 @@ Reading: a task streams an archive and yields rows (record, chunk number, bytes,
 payload of any size passes in pieces of ``CHUNK`` bytes. The last chunk of a record has the payload's
 size and digest, so no rows need to be brought together.
 
-Shuffles: ids and digests only (a partial aggregate, then a join that splits skewed digests). The
+Shuffles: ids and digests only (a partial aggregate, then a join that broadcasts hot digests). The
 revisits come back to the pages by a broadcast of up to ``BROADCAST_ROWS`` rows, else by a join.
 
 Defined cases: null html is an empty payload; a null url has no target; rows without id are written
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import as_long, batch, bounded, saved, shared_dir, small
+from tessera.llm.arrow import as_long, batch, bounded, look_up, saved, shared_dir, small
 
 CHUNK = 1 << 20
 ARCHIVE_BYTES = 1 << 30
@@ -111,7 +111,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_column: str =
     rows = rows.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary")))).withColumn("size", F.octet_length("html"))
     keys = rows.select("id", "digest", "size")
     first = keys.groupBy("digest", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    later = keys.join(first, ["digest", "size"]).where("id is null or id <> first").select(F.col("id").alias("rid"), F.col("digest").alias("rdigest"), "first").distinct()
+    later = look_up(keys, saved(first, "equal-payloads"), ["digest", "size"], "n").where("id is null or id <> first").select(F.col("id").alias("rid"), F.col("digest").alias("rdigest"), "first").distinct()
     later = saved(later, "revisits")
     later = F.broadcast(later) if small(later, BROADCAST_ROWS) else later
     rows = rows.join(later, F.col("id").eqNullSafe(F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left")
