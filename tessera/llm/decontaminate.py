@@ -5,8 +5,9 @@ binary-searches every suffix of the test items in that array, all at once. What
 longest verbatim matches with their places; a document word is hit when it lies in a whole window
 (13 words by default; an item with fewer words is one window) that occurs in the document.
 
-No shuffle: the test items go to the tasks in blocks of bounded size (``block_words``), one UDF for
-each block in the same pass; the matched spans of a document's blocks are joined in its row.
+No shuffle of documents. The test items lie in the shared store in blocks of bounded size (``block_words``). Workers
+read them there and hold one block at a time, the driver none; each block is a UDF of the same pass, and the
+matched spans of a document's blocks are joined in its row.
 
 Defined cases: null or empty texts have no words (n_words 0, clean); null ids are kept; repeated
 items give one match per item id; repeated documents are judged each on its own; an empty benchmark
@@ -16,13 +17,15 @@ leaves everything clean; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import bounded, inner_name, lists, text_rows
+from tessera.llm.arrow import bounded, inner_name, lists, shared_dir, text_rows
 from tessera.llm.words import ALNUM, Words, ragged, text_slices
 
 WINDOW = 13
@@ -141,11 +144,24 @@ def slice_matches(data: np.ndarray, offsets: np.ndarray, items: TestItems):
     return words.counts, doc[heads], first[heads], length[heads] + sizes - 1, owner[heads]
 
 
-def spans_of(items: TestItems):
-    """An Arrow UDF: the words and the matched spans of each text."""
+@lru_cache(maxsize=1)
+def loaded(store: str, block: int, window: int) -> TestItems:
+    """A block of test items from the shared store; a worker holds one at a time."""
+    from pyarrow import dataset, fs
+
+    files, root = fs.FileSystem.from_uri(f"{store}/block={block}")
+    if files.get_file_info(root).type == fs.FileType.NotFound:
+        return TestItems([], [], window)
+    rows = dataset.dataset(root, filesystem=files, format="parquet").to_table(["item", "text"])
+    return TestItems(rows["item"].to_pylist(), rows["text"].to_pylist(), window)
+
+
+def spans_of(store: str, block: int, window: int):
+    """An Arrow UDF: the words and the matched spans of each text, for a block of test items."""
 
     @F.arrow_udf(SPANS)
     def spans(texts: pa.Array) -> pa.Array:
+        items = loaded(store, block, window)
         counts, per_doc, firsts, lengths, owners = [], [], [], [], []
         for _, data, offsets in text_slices(pa.RecordBatch.from_arrays([texts], ["text"])):
             own, doc, first, length, owner = slice_matches(data, offsets, items)
@@ -163,21 +179,15 @@ def spans_of(items: TestItems):
     return spans
 
 
-def item_blocks(benchmark: DataFrame, item_column: str = "item_id", text_column: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[TestItems]:
-    """The test items in blocks of about ``block_words`` words at most, read one partition at a time.
+def item_blocks(benchmark: DataFrame, item_column: str = "item_id", text_column: str = "text", block_words: int = BLOCK_WORDS) -> tuple[str, int]:
+    """Writes the test items to the shared store in blocks of about ``block_words`` words; (folder, how many).
     Items without an id are left out: nothing could name them."""
-    blocks, ids, texts, size = [], [], [], 0
     rows = benchmark.select(F.col(f"`{item_column}`").cast("string").alias("item"), F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
-    for row in rows.where("item is not null").toLocalIterator():
-        ids.append(row["item"])
-        texts.append(row["text"])
-        size += len(row["text"]) // 4 + 1
-        if size >= block_words:
-            blocks.append(TestItems(ids, texts, window))
-            ids, texts, size = [], [], 0
-    if ids or not blocks:
-        blocks.append(TestItems(ids, texts, window))
-    return blocks
+    rows = rows.where("item is not null")
+    words = rows.agg(F.sum(F.length("text") / 4 + 1)).first()[0] or 0
+    n, store = max(1, math.ceil(words / block_words)), shared_dir(benchmark.sparkSession, "items")
+    rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))).repartition("block").write.partitionBy("block").parquet(store)
+    return store, n
 
 
 def judge(n_words: int, starts, lengths, items, share: int = 20) -> tuple[int, int, str, bool]:
@@ -206,17 +216,17 @@ def verdicts():
     return verdict
 
 
-def verbatim_matches(documents: DataFrame, benchmark: DataFrame, text_column: str = "text", into: str = "matches", **options) -> DataFrame:
+def verbatim_matches(documents: DataFrame, benchmark: DataFrame, text_column: str = "text", into: str = "matches", window: int = WINDOW, **options) -> DataFrame:
     """The documents with a column ``into``: n_words, and for every longest verbatim match of at least
     a window its first word, its length in words and the item. Blocks of items are searched one
     beside the other, in the same pass."""
     text = F.col(f"`{text_column}`").cast("string")
-    blocks = item_blocks(benchmark, **options)
-    found = bounded(documents).withColumns({f"{into}_{k}": spans_of(block)(text) for k, block in enumerate(blocks)})
-    if len(blocks) == 1:
-        return found.withColumnRenamed(f"{into}_0", into)
-    joined = {c: F.concat(*[F.col(f"{into}_{k}.{c}") for k in range(len(blocks))]).alias(c) for c in ("starts", "lengths", "items")}
-    return found.withColumn(into, F.struct(F.col(f"{into}_0.n_words").alias("n_words"), *joined.values())).drop(*[f"{into}_{k}" for k in range(len(blocks))])
+    store, n = item_blocks(benchmark, **options)
+    found = bounded(documents).withColumns({f"{into}_{k}": spans_of(store, k, window)(text) for k in range(n)})
+    if n == 1:
+        return found.withColumn(into, F.col(f"{into}_0")).drop(f"{into}_0")
+    joined = {c: F.concat(*[F.col(f"{into}_{k}.{c}") for k in range(n)]).alias(c) for c in ("starts", "lengths", "items")}
+    return found.withColumn(into, F.struct(F.col(f"{into}_0.n_words").alias("n_words"), *joined.values())).drop(*[f"{into}_{k}" for k in range(n)])
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
