@@ -10,7 +10,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.parse import apply, case_numbers, citations, outcome, statutes
+from tessera.functions.parse import apply, case_numbers_of, citations_of, outcome_of, statutes_of
 
 WEIGHTS = (3, 3, 4, 4, 1.5, 2, 1.5, 1, 1, 1, 2)
 
@@ -148,42 +148,74 @@ def numbers_in(text: str | None) -> list[str]:
     return sorted(found)
 
 
-def query_type(text: str | None) -> str:
+def query_type_of(c: Column) -> Column:
     """What a query asks by: case number, citation, statute, outcome, entity, paraphrase, issue, or unknown."""
-    t = (text or "").strip()
-    if not t:
-        return "unknown"
-    if case_numbers(t):
-        return "case"
-    if citations(t):
-        return "citation"
-    if statutes(t):
-        return "statute"
-    if re.search(r"\s(?:v|vs|versus)\.?\s", t):
-        return "entity"
-    words = t.split()
-    if outcome(t) != "unknown" and len(words) <= 8:
-        return "disposition"
-    if len(words) >= 2 and sum(w[:1].isupper() for w in words) / len(words) >= 0.6:
-        return "entity"
-    return "paraphrase" if len(words) >= 12 else "issue"
-
-
-#: Words that say nothing of a subject, and words that set one (fixed values).
-GENERIC = {"cases", "case", "judgments", "judgment", "all", "show", "me", "about", "on", "of", "the", "law", "related", "to"}
-TRIGGERS = {"family": {"divorce", "khula", "dower", "custody", "maintenance", "marriage"}, "criminal": {"murder", "bail", "theft", "narcotics", "robbery"}, "property": {"land", "possession", "gift", "sale", "inheritance"}, "service": {"promotion", "dismissal", "pension", "seniority"}}
-
-
-def category(text: str | None) -> str:
-    """The category of a short query whose telling words all belong to one; "too_broad" without a telling word;
-    else "none"."""
-    words = re.findall(r"[a-z]+", (text or "").lower())
-    telling = [w for w in words if w not in GENERIC]
-    if not words or len(words) > 5:
-        return "none"
-    if not telling:
-        return "too_broad"
-    return next((k for k, own in TRIGGERS.items() if all(w in own for w in telling)), "none")
+    words = F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
+    capital = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
+    some = lambda a: F.size(a) > 0
+    out = F.when(F.coalesce(F.size(words), F.lit(0)) == 0, "unknown").when(some(case_numbers_of(c)), "case").when(some(citations_of(c)), "citation").when(some(statutes_of(c)), "statute")
+    out = out.when(c.rlike(r"\s(?:v|vs|versus)\.?\s"), "entity").when((outcome_of(c) != "unknown") & (F.size(words) <= 8), "disposition")
+    return out.when((F.size(words) >= 2) & (capital >= 0.6 * F.size(words)), "entity").when(F.size(words) >= 12, "paraphrase").otherwise("issue")
+
+
+#: Words that say nothing of a subject; for each category the words that name it in a query, and the phrases that show it
+#: in a text (fixed values).
+GENERIC = """
+    a an the of on in for with about regarding related to and or any all some
+    show me find give list get search see want need
+    legal law laws dispute disputes case cases matter matters issue issues
+    judgment judgments judgement judgements decision decisions court courts
+    appeal appeals petition petitions suit suits litigation proceedings
+    supreme high pakistan type kind kinds sort example examples
+""".split()
+TRIGGERS = {
+    "family": "family families matrimonial marital domestic marriage",
+    "property": "property properties land lands ownership title possession tenancy rent revenue",
+    "service": "service employment employee employees servant servants civil job jobs",
+    "election": "election elections electoral poll polls vote votes",
+    "criminal": "criminal crime crimes murder offence offences",
+    "bail": "bail",
+    "tax": "tax taxes taxation customs duty",
+    "intellectual_property": "trademark trademarks trade mark marks copyright patent patents brand brands intellectual",
+    "contract": "contract contracts agreement agreements",
+    "constitutional": "constitutional constitution fundamental rights writ",
+}
+PHRASES = {
+    "family": "dower; haq mehr; nikah; nikahnama; nikah nama; khula; talaq; divorce; dissolution of marriage; maintenance allowance; custody of minor; guardianship; family court; family settlement; widow; legal heirs; inheritance; husband; wife",
+    "property": "mutation; khasra; revenue record; declaration of ownership; recovery of possession; possession of the land; sale deed; tenancy; ejectment; pre-emption; evacuee; proprietary rights",
+    "service": "civil servant; service tribunal; promotion; seniority; dismissal from service; removal from service; reinstatement; departmental inquiry; regularisation; regularization",
+    "election": "election petition; election tribunal; returned candidate; polling; re-poll; constituency; representation of the people act",
+    "criminal": "murder; qatl; conviction; acquittal; sentence; f.i.r; fir; pakistan penal code; ppc",
+    "bail": "bail; pre-arrest; post-arrest",
+    "tax": "income tax; sales tax; customs duty; tax assessment; federal board of revenue",
+    "intellectual_property": "trade mark; trademark; copyright; patent infringement; patents ordinance; passing off; registrar of trade marks",
+    "contract": "breach of contract; specific performance; agreement to sell",
+    "constitutional": "article 199; article 184; article 185; fundamental rights; writ petition; constitution petition",
+}
+MOST_CATEGORY_WORDS = 5
+
+
+def category_of(c: Column) -> Column:
+    """The category of a query of at most MOST_CATEGORY_WORDS words whose telling words all belong to one; "too_broad"
+    without a telling word; else "none"."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[a-z][a-z\-]*"), F.lit(0))
+    telling = F.filter(words, lambda w: ~w.isin(*GENERIC))
+    out = F.when((F.size(words) == 0) | (F.size(words) > MOST_CATEGORY_WORDS), "none").when(F.size(telling) == 0, "too_broad")
+    for name, own in TRIGGERS.items():
+        out = out.when(F.size(F.array_except(telling, F.array(*[F.lit(w) for w in own.split()]))) == 0, name)
+    return out.otherwise("none")
+
+
+def category_phrases_of(c: Column, category: str) -> Column:
+    """The category's phrases that a text holds between non-letters, sorted."""
+    from tessera.functions.text import phrase_hits
+
+    return phrase_hits(c, [p.replace(".", r"\.") for p in PHRASES[category].split("; ")])
+
+
+def category_text(category: str) -> str:
+    """A category as a query: all its phrases."""
+    return PHRASES[category].replace(";", "")
 
 
 def ungrounded(sentence: str, source: str) -> list[str]:
@@ -224,14 +256,6 @@ def counsel_of(c: Column) -> Column:
     return apply(counsel, "array<string>", c)
 
 
-def query_type_of(c: Column) -> Column:
-    return apply(query_type, "string", c)
-
-
-def category_of(c: Column) -> Column:
-    return apply(category, "string", c)
-
-
 def numbers_of(c: Column) -> Column:
     return apply(numbers_in, "array<string>", c)
 

@@ -1,100 +1,85 @@
-"""Sentences and chunks: small row helpers behind Arrow iterators."""
+"""Sentences and chunks of texts, as columns: regular expressions cut, a fold over the sentences' token counts packs."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 MAX_TOKENS, OVERLAP, LEAST_BODY = 480, 2, 64
-#: Words that a full stop follows without ending a sentence (fixed values).
-ABBREVIATIONS = {"mr", "mrs", "ms", "dr", "no", "nos", "vs", "v", "art", "sec", "st", "jr", "sr", "etc", "i.e", "e.g", "p", "pp"}
-_END = re.compile(r"[.!?]+[\"')\]]*\s+")
-
-
-def sentences(text: str | None) -> list[str]:
-    """Sentences, paragraph by paragraph; an abbreviation, an initial or a number before the stop doesn't end one."""
-    out = []
-    for paragraph in re.split(r"\n\s*\n|\n", text or ""):
-        start = 0
-        for m in _END.finditer(paragraph):
-            before = re.split(r"\s+", paragraph[start : m.start()])[-1].lower().strip("(\"'")
-            if m[0][0] == "." and (before in ABBREVIATIONS or len(before) == 1 or before.isdigit() and len(before) < 3):
-                continue
-            if piece := paragraph[start : m.end()].strip():
-                out.append(piece)
-            start = m.end()
-        if piece := paragraph[start:].strip():
-            out.append(piece)
-    return out
-
-
-def count(text: str) -> int:
-    """Tokens of a text: its words and signs (a word-piece model isn't at hand)."""
-    return len(re.findall(r"\w+|[^\w\s]", text))
-
-
-def hard_split(sentence: str, budget: int) -> list[str]:
-    """A sentence cut after every ``budget`` tokens."""
-    ends = [m.end() for m in re.finditer(r"\w+|[^\w\s]", sentence)]
-    cuts = [0, *ends[budget - 1 :: budget]]
-    if cuts[-1] < len(sentence.rstrip()):
-        cuts.append(len(sentence))
-    return [p for a, b in zip(cuts, cuts[1:], strict=False) if (p := sentence[a:b].strip())]
-
-
-def chunks(text: str | None, most: int = MAX_TOKENS, overlap: int = OVERLAP) -> list[tuple[str, int]]:
-    """(text, tokens): sentences taken while they fit; each chunk begins with the last sentences of the one
-    before, fewer where they don't fit; a text that fits is one chunk as it is."""
-    if not (text or "").strip():
-        return []
-    if (n := count(text)) <= most:
-        return [(text, n)]
-    pieces = [(p, count(p)) for s in sentences(text) for p in (hard_split(s, most) if count(s) > most else [s])]
-    out, own, fresh = [], [], 0
-    for p in pieces:
-        if own and sum(n for _, n in own) + p[1] > most:
-            out.append(own)
-            own = own[-overlap:] if overlap else []
-            while own and sum(n for _, n in own) + p[1] > most:
-                own = own[1:]
-            fresh = 0
-        own = [*own, p]
-        fresh += 1
-    if fresh:
-        out.append(own)
-    return [(" ".join(t for t, _ in c), sum(n for _, n in c)) for c in out]
-
-
-def node_chunks(title: str | None, text: str | None, most: int = MAX_TOKENS, overlap: int = OVERLAP) -> list[tuple[str, int]]:
-    """Chunks that each begin with the title; the body keeps at least LEAST_BODY tokens."""
-    head = (title or "").strip()
-    return [(f"{head}\n{t}" if head else t, n + count(head)) for t, n in chunks(text, max(LEAST_BODY, most - count(head)), overlap)]
-
-
-def chunk_rows(docs: DataFrame, id_column: str, text_column: str, most: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
-    """(id, chunk, n_tokens, text) for every chunk of every text."""
-    kind = docs.schema[id_column].dataType.simpleString()
-
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
-
-        for f in frames:
-            rows = [(i, k, n, c) for i, t in zip(f["id"], f["text"], strict=True) for k, (c, n) in enumerate(chunks(t, most, overlap))]
-            yield pd.DataFrame(rows, columns=["id", "chunk", "n_tokens", "text"])
-
-    return docs.selectExpr(f"`{id_column}` as id", f"`{text_column}` as text").mapInPandas(run, f"id {kind}, chunk int, n_tokens int, text string")
+#: Words that a full stop follows without ending a sentence; single letters and numbers of up to two digits are the same.
+ABBREVIATIONS = "mr mrs ms dr no nos vs art sec st jr sr etc pp".split()
+#: A stop that ends nothing, and one that ends a sentence with the quotes and brackets behind it.
+KEPT_STOP = r"(?i)(^|[^\p{L}\p{N}])(" + "|".join(ABBREVIATIONS) + r"|\p{L}|\p{N}{1,2})\."
+LAST_STOP = r"([.!?]+[\"')\]]*)[ \t\r]+"
+TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+
+
+def sentences(c: Column) -> Column:
+    """The sentences of a text, line by line, without blanks at their ends."""
+    marked = F.regexp_replace(F.coalesce(c, F.lit("")), KEPT_STOP, "$1$2\u0001")
+    pieces = F.split(F.regexp_replace(marked, LAST_STOP, "$1\n"), "\n+")
+    return F.filter(F.transform(pieces, lambda p: F.trim(F.translate(p, "\u0001", "."), F.lit(" \t\r"))), lambda p: p != "")
+
+
+def words_and_signs(texts: Column) -> Column:
+    """How many words and signs each text of an array has. A counter of real tokens, an array to an array, may stand in its place."""
+    return F.transform(texts, lambda t: F.regexp_count(t, F.lit(TOKEN)))
+
+
+def hard_split(c: Column, budget: int) -> Column:
+    """A sentence cut after every ``budget`` words and signs."""
+    return F.transform(F.regexp_extract_all(c, F.lit(rf"(?:(?:{TOKEN})\s*){{1,{budget}}}"), F.lit(0)), lambda p: F.rtrim(p))
+
+
+def fold(budget: Column, overlap: int) -> tuple:
+    """Start, step and end of a fold over sentence sizes that gives chunks as an array of (first, end): sentences are taken
+    while they fit; a chunk begins with up to ``overlap`` sentences of the one before, as many as leave room for a new one."""
+    empty = F.array().cast("array<struct<first: int, end: int>>")
+    start = F.struct(empty.alias("done"), F.lit(0).alias("first"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("used"), *[F.lit(0).cast("long").alias(f"back{k}") for k in range(1, overlap + 1)])
+
+    def take(s: Column, size: Column) -> Column:
+        size = size.cast("long")
+        fits = (s["used"] + size <= budget) | (s["at"] == s["first"])
+        first, used, total = s["at"], size, size
+        for k in range(1, overlap + 1):  # the longest tail that fits; it doesn't reach the start of the chunk before
+            total = total + s[f"back{k}"]
+            ok = (total <= budget) & (s["at"] - k > s["first"])
+            first, used = F.when(ok, s["at"] - k).otherwise(first), F.when(ok, total).otherwise(used)
+        closed = F.concat(s["done"], F.array(F.struct(s["first"].alias("first"), s["at"].alias("end"))))
+        back = [size, *[s[f"back{k}"] for k in range(1, overlap)]]
+        return F.struct(
+            F.when(fits, s["done"]).otherwise(closed).alias("done"),
+            F.when(fits, s["first"]).otherwise(first).cast("int").alias("first"),
+            (s["at"] + 1).cast("int").alias("at"),
+            F.when(fits, s["used"] + size).otherwise(used).alias("used"),
+            *[b.alias(f"back{k}") for k, b in enumerate(back[:overlap], 1)],
+        )
+
+    last = lambda s: F.when(s["at"] > s["first"], F.concat(s["done"], F.array(F.struct(s["first"].alias("first"), s["at"].alias("end"))))).otherwise(s["done"])
+    return start, take, last
+
+
+def chunk_rows(docs: DataFrame, id_column: str, text_column: str, most: int = MAX_TOKENS, overlap: int = OVERLAP, title_column: str | None = None, sizes_of: Callable[[Column], Column] = words_and_signs) -> DataFrame:
+    """(id, chunk, n_tokens, text) for every chunk of every text; blank texts give none. With a title each chunk begins
+    with it, and the body keeps at least LEAST_BODY tokens. A sentence over the budget is cut, beside a title into pieces
+    of LEAST_BODY. All happens within a document's row: nothing is shuffled."""
+    title = F.trim(F.coalesce(F.col(title_column), F.lit(""))) if title_column else F.lit("")
+    rows = docs.select(F.col(id_column).alias("id"), title.alias("title"), sentences(F.col(text_column)).alias("own")).where(F.size("own") > 0)
+    rows = rows.withColumn("head", F.when(F.col("title") != "", sizes_of(F.array("title"))[0]).otherwise(0))
+    rows = rows.withColumn("budget", F.greatest(F.lit(LEAST_BODY if title_column else 1), F.lit(most) - F.col("head")))
+    rows = rows.withColumn("sizes", sizes_of(F.col("own")))
+    pieces = F.zip_with("own", "sizes", lambda s, n: F.when(n > F.col("budget"), hard_split(s, LEAST_BODY if title_column else most)).otherwise(F.array(s)))
+    rows = rows.withColumn("own", F.flatten(pieces)).withColumn("sizes", sizes_of(F.col("own")))
+    rows = rows.withColumn("spans", F.aggregate("sizes", *fold(F.col("budget"), overlap)))
+    rows = rows.select("*", F.posexplode("spans").alias("chunk", "span"))
+    part = lambda c: F.slice(c, F.col("span.first") + 1, F.col("span.end") - F.col("span.first"))
+    tokens = F.col("head") + F.aggregate(part("sizes"), F.lit(0), lambda s, n: s + n)
+    text = F.concat(F.when(F.col("title") != "", F.concat("title", F.lit("\n"))).otherwise(""), F.array_join(part("own"), " "))
+    return rows.select("id", "chunk", tokens.alias("n_tokens"), text.alias("text"))
 
 
 def sentence_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(id, position, sentence)."""
-    kind = docs.schema[id_column].dataType.simpleString()
-
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
-
-        for f in frames:
-            yield pd.DataFrame([(i, k, s) for i, t in zip(f["id"], f["text"], strict=True) for k, s in enumerate(sentences(t))], columns=["id", "position", "sentence"])
-
-    return docs.selectExpr(f"`{id_column}` as id", f"`{text_column}` as text").mapInPandas(run, f"id {kind}, position int, sentence string")
+    return docs.select(F.col(id_column).alias("id"), F.posexplode(sentences(F.col(text_column))).alias("position", "sentence"))

@@ -1,5 +1,3 @@
-import pytest
-
 from tessera.functions import cards
 
 CAPTION = """IN THE SUPREME COURT
@@ -28,14 +26,14 @@ def test_captions():
     assert cards.parties("no sides") == [] and cards.bench(None) == [] and cards.counsel(None) == []
 
 
-@pytest.mark.parametrize(("said", "kind"), [("Civil Appeal No. 3 of 2001", "case"), ("2011 SCMR 7", "citation"), ("Section 302 PPC", "statute"), ("Ali v. State", "entity"), ("appeals dismissed", "disposition"), ("rights of tenants", "issue"), (" ".join(["word"] * 13), "paraphrase"), (None, "unknown")])
-def test_query_type(said, kind):
-    assert cards.query_type(said) == kind
+TYPES = {"Civil Appeal No. 3 of 2001": "case", "2011 SCMR 7": "citation", "Section 302 PPC": "statute", "Ali v. State": "entity", "appeals dismissed": "disposition", "rights of tenants": "issue", " ".join(["word"] * 13): "paraphrase", "": "unknown", None: "unknown"}
+
 
+def test_query_types(spark):
+    from pyspark.sql import functions as F
 
-@pytest.mark.parametrize(("said", "kind"), [("divorce cases", "family"), ("all judgments", "too_broad"), ("bail and khula", "none"), ("", "none"), ("show me cases about bail", "criminal")])
-def test_category(said, kind):
-    assert cards.category(said) == kind
+    rows = spark.createDataFrame([(x,) for x in TYPES], "t string").select("t", cards.query_type_of(F.col("t")).alias("k"))
+    assert {r.t: r.k for r in rows.collect()} == TYPES
 
 
 def test_small_parsers():

@@ -1,8 +1,8 @@
 """Golden cases of the parsers, chunkers and windows."""
 
 import datetime
+import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import chunks, parse, text
@@ -11,52 +11,43 @@ from tessera.sources import store
 from tessera.streaming import windows
 
 
-@pytest.mark.parametrize(
-    ("said", "keys"),
-    [
-        ("Civil Appeal No. 12 of 2019", ["CA-12-2019"]),
-        ("C.P. 5/2020 and Civil Appeals Nos. 3 to 5 of 2018", ["CP-5-2020", "CA-3-2018", "CA-4-2018", "CA-5-2018"]),
-        ("Writ Petition No. 7 of 2001, Writ Petition No. 7 of 2001", ["WP-7-2001"]),
-        ("nothing here", []),
-        (None, []),
-    ],
-)
-def test_case_numbers(said, keys):
-    assert parse.case_numbers(said) == keys
-
-
-def test_statutes_and_citations():
-    assert parse.statutes("Under Article 199 and Section 302 PPC, Order XXI Rule 10 of the Evidence Act, 1872") == ["Article 199", "Section 302 PPC", "Order 21 Rule 10", "Evidence Act, 1872"]
-    assert parse.citations("see 2011 SCMR 7 and PLD 2010 Supreme Court 5") == ["2011 SCMR 7", "PLD 2010 SC 5"]
-    assert [parse.roman(x) for x in ("IV", "xxi", "XC", "abc", "")] == [4, 21, 90, None, None]
-
-
-def test_dates_outcomes_spelling():
-    assert parse.first_date("31.02.2020 then 5th March, 2021") == "05.03.2021"
-    assert parse.first_date("1/2/49 ") == "01.02.2049"
-    assert parse.first_date("1/2/51 ") == "01.02.1951"
-    assert parse.outcome("The appeal is allowed.") == "allowed"
-    assert parse.outcome("allowed in part, dismissed in part") == "unknown"
-    assert parse.outcome("partly allowed and dismissed") == "partly allowed"
-    assert parse.outcome(None) == "unknown"
-    assert parse.spelling("nikahnama and khulla") == "nikah nama and khula"
-
-
 def test_facets():
     got = parse.facets("She left the house in May. The trial court dismissed her suit. Whether she has a right is asked.")
     assert set(got) == {"facts", "outcome", "issue"}
 
 
-def test_chunks():
-    assert chunks.sentences("Mr. Khan came. He left!\nNo. 5 is here. A. B. spoke.") == ["Mr. Khan came.", "He left!", "No. 5 is here.", "A. B. spoke."]
-    assert chunks.chunks("short text") == [("short text", 2)]
-    assert chunks.chunks(None) == [] and chunks.chunks("  ") == []
-    long_ = " ".join(f"Word{k} one two three." for k in range(100))
-    made = chunks.chunks(long_, 50, 2)
-    assert all(n <= 50 for _, n in made)
-    assert made[1][0].split(". ")[0] in made[0][0]
-    assert all(n <= 10 for _, n in chunks.chunks("w " * 95, 10, 0))
-    assert chunks.node_chunks("Title", "body text")[0][0] == "Title\nbody text"
+def chunked(sizes, budget, overlap):
+    """Chunks in plain loops: [(first, end)]."""
+    out, first, k = [], 0, 0
+    while k < len(sizes):
+        if k > first and sum(sizes[first : k + 1]) > budget:
+            out.append((first, k))
+            keep = [b for b in range(overlap + 1) if k - b > first or not b]
+            first = k - max(b for b in keep if not b or sum(sizes[k - b : k + 1]) <= budget)
+        k += 1
+    return [*out, (first, k)] if sizes else out
+
+
+def test_chunks(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "id long, title string, text string")
+    got = frame([(1, "", 'Mr. Khan came. He left!\nNo. 5 is here. A. B. spoke. "Why?" Été. x'), (2, "", None), (3, "", " \n ")])
+    assert [r.sentence for r in chunks.sentence_rows(got, "id", "text").collect()] == ["Mr. Khan came.", "He left!", "No. 5 is here.", "A. B. spoke.", '"Why?"', "Été.", "x"]
+    rng = random.Random(3)
+    rows = [(k, "A title", " ".join("w " * rng.randint(1, 30) + f"end{j}." for j in range(rng.randint(0, 30)))) for k in range(200)] + [(200, None, "w " * 200), (201, "T", None), (202, "T", "short text")]
+    for budget, overlap in ((50, 2), (40, 1), (35, 0), (60, 3)):
+        out = {}
+        for r in chunks.chunk_rows(frame(rows), "id", "text", budget, overlap).orderBy("id", "chunk").collect():
+            out.setdefault(r.id, []).append((r.text, r.n_tokens))
+            assert r.n_tokens <= budget
+        for i, _, t in rows[:200]:
+            whole = [s + "." for s in t.split(". ")] if t else []
+            whole = [s.rstrip(".") + "." for s in whole]
+            sizes = [len(s.split()) + 1 for s in whole]
+            want = [(" ".join(" ".join(s.split()) for s in whole[a:b]), sum(sizes[a:b])) for a, b in chunked(sizes, budget, overlap)]
+            assert [(" ".join(x.split()), n) for x, n in out.get(i, [])] == want
+        assert sum(n for _, n in out[200]) == 200 and 201 not in out
+    titled = chunks.chunk_rows(frame(rows), "id", "text", 80, 2, "title").where("id >= 200 or id = 0").collect()
+    assert all(r.text.startswith("A title\n") for r in titled if r.id == 0) and [r.text for r in titled if r.id == 202] == ["T\nshort text"]
 
 
 def test_text_columns(spark):
