@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokens
+from tessera.functions.text import TOKEN, tokens
 
 K1, B = 1.2, 0.75
 
@@ -27,21 +27,23 @@ def query_terms(queries: DataFrame, id_column: str, text: Column) -> DataFrame:
     return queries.select(F.col(id_column).alias("qid"), F.explode(F.array_distinct(tokens(text))).alias("term"))
 
 
+def _weighed(column: str, weight: float) -> Column:
+    return F.transform(tokens(F.col(column)), lambda w: F.struct(w.alias("term"), F.lit(float(weight)).alias("w")))
+
+
 def matched(docs: DataFrame, id_column: str, columns: dict[str, float], terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Weighted term counts of the asked terms, (id, term, tf, dl), and the corpus figures (n, avgdl).
 
-    ``columns``: text columns and their weights; dl counts the tokens of all of them.
+    ``columns``: text columns and their weights; dl counts the tokens of all of them. Rows with the same id are one
+    document whose length is that of all its rows. The words of a row are exploded once, whatever the columns.
     """
-    words = docs.select(F.col(id_column).alias("id"), *[tokens(F.col(c)).alias(c) for c in columns])
-    length = sum((F.size(c) for c in columns), F.lit(0))
-    words = words.withColumn("dl", length)
-    parts = [words.select("id", "dl", F.explode(c).alias("term"), F.lit(float(w)).alias("w")) for c, w in columns.items()]
-    flat = parts[0]
-    for p in parts[1:]:
-        flat = flat.unionByName(p)
+    words = docs.select(F.col(id_column).alias("id"), F.concat(*[_weighed(c, w) for c, w in columns.items()]).alias("words"), F.monotonically_increasing_id().alias("row"))
+    flat = words.select("id", F.size("words").alias("dl"), "row", F.explode("words").alias("x")).select("id", "dl", "row", "x.*")
     asked = terms.select("term").distinct()
-    tf = flat.join(asked, "term").groupBy("id", "term").agg(F.sum("w").alias("tf"), F.first("dl").alias("dl"))
-    return tf, words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    by_row = flat.join(asked, "term").groupBy("id", "term", "row").agg(F.sum("w").alias("tf"), F.first("dl").alias("dl"))
+    tf = by_row.groupBy("id", "term").agg(F.sum("tf").alias("tf"), F.sum("dl").alias("dl"))
+    length = sum((F.regexp_count(F.coalesce(c, F.lit("")), F.lit(TOKEN)) for c in columns), F.lit(0))
+    return tf, docs.agg(F.countDistinct(id_column).alias("n"), F.sum(length).alias("tokens")).select("n", (F.col("tokens") / F.col("n")).alias("avgdl"))
 
 
 def top(df: DataFrame, k: int, by: list[str], order: list) -> DataFrame:
@@ -52,7 +54,8 @@ def top(df: DataFrame, k: int, by: list[str], order: list) -> DataFrame:
 def bm25(docs: DataFrame, id_column: str, columns: dict[str, float], terms: DataFrame) -> DataFrame:
     """(qid, id, score): the BM25 score of every document for every query; an idf that isn't positive is 1e-6."""
     tf, figures = matched(docs, id_column, columns, terms)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # reads all columns of tf, so that the exchange behind it is planned once and used for both
+    df = tf.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("dl") > 0) & F.col("id").isNotNull()).alias("df"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = df.crossJoin(F.broadcast(figures)).select("term", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"), "avgdl")
     gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -89,20 +92,29 @@ def docs_with_terms(docs: DataFrame, id_column: str, text: Column, terms: DataFr
     return words.join(terms, "term").groupBy("qid", "id").agg(F.array_sort(F.collect_list("term")).alias("found"))
 
 
+def _followed(here: Column, k: int, word: str) -> Column:
+    """Which marked places have ``word`` as the k-th word from there on."""
+    rest = F.slice("words", k + 1, F.greatest(F.size("words"), F.lit(1)))
+    return F.zip_with(here, rest, lambda ok, w: ok & F.coalesce(w == word, F.lit(False)))
+
+
 def phrase_match(docs: DataFrame, id_column: str, text: Column, phrase: list[str]) -> DataFrame:
-    """(id, hits): documents with the words next to each other in order, and how often."""
-    words = docs.select(F.col(id_column).alias("id"), F.posexplode(tokens(text)).alias("pos", "term")).where(F.col("term").isin(*phrase))
-    places = words.groupBy("id").agg(*[F.collect_list(F.when(F.col("term") == w, F.col("pos"))).alias(f"p{k}") for k, w in enumerate(phrase)])
-    follows = lambda p: F.forall(F.array(*[F.array_contains(f"p{k}", p + k) for k in range(1, len(phrase))]), lambda x: x) if len(phrase) > 1 else F.lit(True)
-    return places.select("id", F.size(F.filter("p0", follows)).cast("long").alias("hits")).where("hits > 0")
+    """(id, hits): documents with the words next to each other in order, and how often; all within a document's row."""
+    words = docs.select(F.col(id_column).alias("id"), tokens(text).alias("words"))
+    here = F.transform("words", lambda w: w == phrase[0])
+    for k, word in enumerate(phrase[1:], 1):
+        here = _followed(here, k, word)
+    return words.select("id", F.size(F.filter(here, lambda ok: ok)).cast("long").alias("hits")).where("hits > 0")
 
 
 def near_match(docs: DataFrame, id_column: str, text: Column, first: str, second: str, between: int = 2) -> DataFrame:
-    """(id, hits): documents where two words stand in any order with at most ``between`` words between them."""
-    words = docs.select(F.col(id_column).alias("id"), F.posexplode(tokens(text)).alias("pos", "term")).where(F.col("term").isin(first, second))
-    sides = words.groupBy("id").agg(F.collect_list(F.when(F.col("term") == first, F.col("pos"))).alias("p"), F.collect_list(F.when(F.col("term") == second, F.col("pos"))).alias("q"))
-    close = F.aggregate("p", F.lit(0), lambda s, a: s + F.size(F.filter("q", lambda b: F.abs(a - b) - 1 <= between)))
-    return sides.select("id", close.cast("long").alias("hits")).where("hits > 0")
+    """(id, hits): documents where two different words stand in any order with at most ``between`` words between them;
+    all within a document's row."""
+    words = docs.select(F.col(id_column).alias("id"), tokens(text).alias("words"))
+    pair = lambda a, b: ((a == first) & (b == second)) | ((a == second) & (b == first))
+    rest = lambda d: F.slice("words", d + 1, F.greatest(F.size("words"), F.lit(1)))
+    hits = sum((F.size(F.filter(F.zip_with("words", rest(d), pair), lambda ok: ok)) for d in range(1, between + 2)), F.lit(0))
+    return words.select("id", hits.cast("long").alias("hits")).where("hits > 0")
 
 
 def stemmed_topk(docs: DataFrame, id_column: str, text_column: str, terms: DataFrame, k: int) -> DataFrame:

@@ -29,14 +29,18 @@ def party_match(names: DataFrame, queries: DataFrame, coverage: float = COVERAGE
     """
     n = names.agg(F.countDistinct("id").alias("n"))
     idf = names.groupBy("term").agg(F.countDistinct("id").alias("df")).crossJoin(F.broadcast(n)).select("term", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
-    weighed = names.join(idf, "term")
-    whole = weighed.groupBy("id").agg(F.sum("idf").alias("whole"))
-    asked = queries.join(idf, "term", "left").groupBy("qid").agg(F.sum(F.coalesce("idf", F.lit(1.0))).alias("asked"))
-    hits = weighed.join(queries, "term").groupBy("qid", "id").agg(F.sum("idf").alias("hit"), F.count("*").alias("n_hit"))
-    rows = hits.where(F.col("n_hit") >= least).join(whole, "id").join(asked, "qid")
-    rows = rows.withColumn("name_share", F.col("hit") / F.col("whole")).withColumn("query_share", F.col("hit") / F.col("asked"))
-    rows = rows.where((F.col("name_share") >= coverage) & (F.col("query_share") >= query_coverage))
-    return rows.select("qid", "id", F.round(0.5 + 0.4 * F.col("name_share") * F.col("query_share"), 6).alias("score"))
+    # a name and a query are a row each with their words, so a candidate is scored in its row
+    total = lambda words: F.aggregate(words, F.lit(0.0), lambda s, w: s + w["idf"])
+    known = names.distinct().join(idf, "term").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("idf", "term"))).alias("words")).withColumn("whole", total(F.col("words")))
+    asked = queries.distinct().join(idf, "term", "left").groupBy("qid").agg(F.collect_list("term").alias("said"), F.sum(F.coalesce("idf", F.lit(1.0))).alias("asked"))
+    # a name is met through its heavier words only, without which the coverage isn't reached: a word of all names
+    # brings no candidates
+    heavy = F.filter("words", lambda w, k: total(F.slice("words", 1, k + 1)) >= coverage * F.col("whole") * (1 - 1e-9))
+    met = known.withColumn("met", F.explode(heavy)).withColumn("term", F.col("met.term")).join(asked.withColumn("term", F.explode("said")), "term")
+    met = met.withColumn("hits", F.filter("words", lambda w: F.array_contains("said", w["term"]))).withColumn("hit", total(F.col("hits")))
+    rows = met.withColumn("name_share", F.col("hit") / F.col("whole")).withColumn("query_share", F.col("hit") / F.col("asked"))
+    rows = rows.where((F.size("hits") >= least) & (F.col("name_share") >= coverage) & (F.col("query_share") >= query_coverage))
+    return rows.select("qid", "id", F.round(0.5 + 0.4 * F.col("name_share") * F.col("query_share"), 6).alias("score")).dropDuplicates(["qid", "id"])
 
 
 def result_filter(outcome: str = "", judge: str = "", words: str = "", after=None, before=None, *, outcome_column: Column, bench: Column, date: Column, haystack: Column) -> Column:
