@@ -118,3 +118,13 @@ def test_triage(spark):
     files = spark.createDataFrame([(1, "h", True), (2, "h", True), (3, "k", True), (4, "z", False)], "id long, hash string, valid boolean")
     known = spark.createDataFrame([("k",)], "hash string")
     assert {r.id: r.category for r in audit.triage(files, known).collect()} == {1: "new", 2: "duplicate", 3: "known", 4: "invalid"}
+
+
+def test_names_and_page_marks(spark):
+    from tessera.plans import records
+
+    rows = spark.createDataFrame([("in Ali Khan v. The State it was held",), ("no names v here",)], "text string")
+    got = [tuple(r) for r in rows.select(*[F.regexp_extract_all("text", F.lit(records.NAMES), F.lit(k)) for k in (1, 2)]).collect()]
+    assert got == [(["Ali Khan"], ["The State"]), ([], [])]
+    marks = spark.createDataFrame([("a\n--- PAGE 3 ---\nb\nPage 1 of 9\npage 3 says",)], "text string").select(F.regexp_replace("text", records.PAGE_MARKS, "")).first()[0]
+    assert marks == "a\n\nb\n\npage 3 says"
