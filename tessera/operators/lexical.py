@@ -53,7 +53,11 @@ def top(df: DataFrame, k: int, by: list[str], order: list) -> DataFrame:
 
 def bm25(docs: DataFrame, id_column: str, columns: dict[str, float], terms: DataFrame) -> DataFrame:
     """(qid, id, score): the BM25 score of every document for every query; an idf that isn't positive is 1e-6."""
-    tf, figures = matched(docs, id_column, columns, terms)
+    return scored(*matched(docs, id_column, columns, terms), terms)
+
+
+def scored(tf: DataFrame, figures: DataFrame, terms: DataFrame) -> DataFrame:
+    """(qid, id, score) from term counts (id, term, tf, dl), the corpus figures (n, avgdl) and the queries' terms."""
     # reads all columns of tf, so that the exchange behind it is planned once and used for both
     df = tf.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("dl") > 0) & F.col("id").isNotNull()).alias("df"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import parse, text
-from tessera.plans.catalogue import FUSED_SQL, GRADES_SQL, ITEM_DENSE_SQL, LISTS_SQL, OUTCOME, WORDS, candidate_lists, fused_rows, grades, query
+from tessera.operators.postings import PostingIndex
+from tessera.plans.catalogue import BM25_SQL, FUSED_SQL, GRADES_SQL, ITEM_DENSE_SQL, LISTS_SQL, OUTCOME, POSITIONS, WORDS, candidate_lists, fused_rows, grades, query, terms_of
+from tessera.sources.store import shared_dir
 
 NAMES = r"([A-Z][\w.]*(?: [A-Z][\w.]*){0,4}) (?:v|vs|versus)\.? ([A-Z][\w.]*(?: [A-Z][\w.]*){0,4})"
 PAGE_MARKS = r"(?im)^[ \t]*(?:-{2,}[ \t]*)?page[ \t]+[0-9]+(?:[ \t]+of[ \t]+[0-9]+)?(?:[ \t]*-{2,})?[ \t]*$"
@@ -114,3 +116,38 @@ def index_counts(t):
     """Rows of the keyword index and documents in it."""
     rows = t("documents").select("doc_id", F.size(F.array_distinct(text.tokens(F.col("text")))).alias("n")).where("n > 0").groupBy("doc_id").agg(F.sum("n").alias("n"))
     return rows.agg(F.sum("n").alias("postings"), F.count("*").alias("documents"))
+
+
+LIVE = "live AS (SELECT doc_id, CASE WHEN lang = 'de' THEN concat('amended ', text) ELSE text END AS text FROM documents WHERE lang IS DISTINCT FROM 'fr')"
+AMENDED = "case when lang = 'de' then concat('amended ', coalesce(text, '')) else text end"
+
+
+def _index(t) -> PostingIndex:
+    """The index of all documents after German ones were amended and French ones removed."""
+    docs = t("documents")
+    index = PostingIndex(docs.sparkSession, shared_dir(docs.sparkSession, "postings"))
+    index.upsert(docs, "doc_id", "text")
+    index.upsert(docs.where("lang = 'de'").withColumn("text", F.expr(AMENDED)), "doc_id", "text")
+    index.remove(docs.where("lang = 'fr'"), "doc_id")
+    return index
+
+
+@query("index_bm25", f"WITH {LIVE}, {BM25_SQL.replace('FROM documents', 'FROM live')} SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bm) WHERE rank <= 5")
+def index_bm25(t):
+    """The five best documents of every query string, from a stored index after an upsert and a removal."""
+    return _index(t).bm25_topk(terms_of(t), 5)
+
+
+PAIRED = "SELECT a.id, count(*) AS hits FROM p a JOIN p b ON a.id = b.id AND {} WHERE a.term = 'of' AND b.term = 'the' GROUP BY 1"
+
+
+@query(
+    "index_phrase_near",
+    f"WITH {LIVE}, {POSITIONS.replace('FROM documents', 'FROM live')}, ph AS ({PAIRED.format('b.pos = a.pos + 1')}), ne AS ({PAIRED.format('abs(a.pos - b.pos) BETWEEN 1 AND 3')}) SELECT id, coalesce(ph.hits, 0) AS phrase, ne.hits AS near FROM ne LEFT JOIN ph USING (id)",
+)
+def index_phrase_near(t):
+    """Where two words stand as a phrase or close together, from a compacted index."""
+    index = _index(t)
+    index.compact()
+    near, phrase = index.near("of", "the", 2).withColumnRenamed("hits", "near"), index.phrase(["of", "the"]).withColumnRenamed("hits", "phrase")
+    return near.join(phrase, "id", "left").select("id", F.coalesce("phrase", F.lit(0)).alias("phrase"), "near")
