@@ -29,16 +29,20 @@ def _fs(spark: SparkSession, path: str):
 
 
 class Versioned:
-    """A table as folders of versions and a pointer to the current one: readers see the old rows or the new."""
+    """A table as folders of versions, and pointers with rising numbers of which the greatest counts: readers see the old
+    rows or the new, and a writer that fails at any step leaves the old ones. One writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str, partition: str | None = None):
         self.spark, self.path, self.partition = spark, path.rstrip("/"), partition
 
+    def _pointers(self) -> list[str]:
+        """Names "number=version", in the order of their numbers."""
+        fs, at = _fs(self.spark, f"{self.path}/_versions")
+        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
     def current(self) -> str | None:
-        fs, at = _fs(self.spark, f"{self.path}/_current")
-        if not fs.exists(at):
-            return None
-        return self.spark.read.text(f"{self.path}/_current").orderBy(F.monotonically_increasing_id()).first()[0]
+        pointers = self._pointers()
+        return pointers[-1].partition("=")[2] if pointers else None
 
     def read(self) -> DataFrame:
         version = self.current()
@@ -47,15 +51,18 @@ class Versioned:
         return self.spark.read.parquet(f"{self.path}/{version}")
 
     def rebuild(self, rows: DataFrame) -> None:
-        """Writes all rows as a new version, then moves the pointer."""
+        """Writes all rows as a new version, then names it under the next number: an empty file, which is there or isn't."""
         version = f"v-{uuid.uuid4().hex}"
         writer = rows.write
         (writer.partitionBy(self.partition) if self.partition else writer).parquet(f"{self.path}/{version}")
-        fs, at = _fs(self.spark, f"{self.path}/_current")
-        _, new = _fs(self.spark, f"{self.path}/_next")
-        self.spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_next")
-        fs.delete(at, True)
-        fs.rename(new, at)
+        self._point(version)
+
+    def _point(self, version: str) -> None:
+        pointers = self._pointers()
+        number = int(pointers[-1].partition("=")[0]) + 1 if pointers else 1
+        fs, at = _fs(self.spark, f"{self.path}/_versions/{number:012d}={version}")
+        if not fs.createNewFile(at):
+            raise FileExistsError(at.toString())
 
     def upsert(self, rows: DataFrame, key: str) -> None:
         """Rows of the given keys are replaced; others stay."""
