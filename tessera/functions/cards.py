@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.parse import apply, case_numbers_of, citations_of, outcome_of, statutes_of
 
+# The columns of a card and their weights in search.
+CARD_COLUMNS = ("case_display", "case_keys", "appellant", "respondent", "bench", "statutes", "subject", "headnote", "issues", "holding", "keywords")
 WEIGHTS = (3, 3, 4, 4, 1.5, 2, 1.5, 1, 1, 1, 2)
 
 

@@ -19,6 +19,7 @@ Null ids are left out, null and empty texts are documents without words, an id t
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -32,7 +33,7 @@ from tessera.functions import stem as stems
 from tessera.functions.text import tokens
 from tessera.operators import lexical
 from tessera.operators.lexical import K1, B
-from tessera.sources.store import Versioned
+from tessera.sources.store import Versioned, shared_dir
 
 BUCKETS = 64
 #: Rows of a table about asked stems or units that may be broadcast.
@@ -294,3 +295,32 @@ class FieldIndex:
         gains = hits.join(idf, ["unit", "part"]).select("unit", "id", gain.alias("gain"))
         scored = gains.join(named.select("qid", "unit"), "unit").groupBy("qid", "id").agg(F.round(F.sum("gain"), 6).alias("score"))
         return lexical.top(scored, k, ["qid"], [F.desc("score"), F.asc("id")])
+
+
+VERSION = 1
+
+
+def stored(docs: DataFrame, id_column: str, fields: list[str], stemmed: bool = False) -> FieldIndex:
+    """The index of a table in files: built when it is first asked for, found by name from then on.
+
+    The name holds the files' paths, sizes and times, so that a changed table gets an index of its own. The index counts once its
+    build has ended; of two builds at the same time the first to end is kept.
+    """
+    spark = docs.sparkSession
+    files = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in sorted(docs.inputFiles())]
+    listed: dict[str, object] = {}
+    for folder in {f.getParent().toString(): f.getParent() for f in files}.values():
+        listed |= {s.getPath().toString(): s for s in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)}
+    found = [listed.get(f.toString()) for f in files]
+    facts = [VERSION, id_column, fields, stemmed, [(f.toString(), s and s.getLen(), s and s.getModificationTime()) for f, s in zip(files, found)]]
+    name = hashlib.sha256(repr(facts).encode()).hexdigest()[:32]
+    base = shared_dir(spark, name)
+    named = Versioned(spark, base.rpartition("/")[0] + f"/indexes/{name}")
+    if named.current() is None:
+        index = FieldIndex(spark, f"{named.path}/{uuid.uuid4().hex}", fields, stemmed)
+        index.upsert(docs, id_column)
+        try:
+            named.point(index.path.rpartition("/")[2])
+        except FileExistsError:
+            pass
+    return FieldIndex(spark, f"{named.path}/{named.current()}", fields, stemmed)

@@ -7,6 +7,8 @@ shuffles both sides beyond that.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,29 +98,30 @@ def docs_with_terms(docs: DataFrame, id_column: str, text: Column, terms: DataFr
     return words.join(terms, "term").groupBy("qid", "id").agg(F.array_sort(F.collect_list("term")).alias("found"))
 
 
-def _followed(here: Column, k: int, word: str) -> Column:
-    """Which marked places have ``word`` as the k-th word from there on."""
-    rest = F.slice("words", k + 1, F.greatest(F.size("words"), F.lit(1)))
-    return F.zip_with(here, rest, lambda ok, w: ok & F.coalesce(w == word, F.lit(False)))
+def _places(words: Column, word: str, moved: int = 0) -> Column:
+    """Where a word stands in an array of words, each place moved by so many."""
+    return F.filter(F.transform(words, lambda w, k: F.when(w == word, k + moved)), lambda k: k.isNotNull())
+
+
+def _with_words(docs: DataFrame, id_column: str, text: Column, words: list[str]) -> DataFrame:
+    """(id, words) of the documents that hold every one of the words; the text is searched before it is cut."""
+    rows = docs.where(F.forall(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(text), w)))
+    return rows.select(F.col(id_column).alias("id"), tokens(text).alias("words"))
 
 
 def phrase_match(docs: DataFrame, id_column: str, text: Column, phrase: list[str]) -> DataFrame:
     """(id, hits): documents with the words next to each other in order, and how often; all within a document's row."""
-    words = docs.select(F.col(id_column).alias("id"), tokens(text).alias("words"))
-    here = F.transform("words", lambda w: w == phrase[0])
-    for k, word in enumerate(phrase[1:], 1):
-        here = _followed(here, k, word)
-    return words.select("id", F.size(F.filter(here, lambda ok: ok)).cast("long").alias("hits")).where("hits > 0")
+    starts = [_places(F.col("words"), w, -k) for k, w in enumerate(phrase)]
+    hits = F.size(reduce(F.array_intersect, starts)).cast("long")
+    return _with_words(docs, id_column, text, phrase).select("id", hits.alias("hits")).where("hits > 0")
 
 
 def near_match(docs: DataFrame, id_column: str, text: Column, first: str, second: str, between: int = 2) -> DataFrame:
     """(id, hits): documents where two different words stand in any order with at most ``between`` words between them;
     all within a document's row."""
-    words = docs.select(F.col(id_column).alias("id"), tokens(text).alias("words"))
-    pair = lambda a, b: ((a == first) & (b == second)) | ((a == second) & (b == first))
-    rest = lambda d: F.slice("words", d + 1, F.greatest(F.size("words"), F.lit(1)))
-    hits = sum((F.size(F.filter(F.zip_with("words", rest(d), pair), lambda ok: ok)) for d in range(1, between + 2)), F.lit(0))
-    return words.select("id", hits.cast("long").alias("hits")).where("hits > 0")
+    rows = _with_words(docs, id_column, text, [first, second]).select("id", _places(F.col("words"), first).alias("a"), _places(F.col("words"), second).alias("b"))
+    hits = sum((F.size(F.array_intersect("a", F.transform("b", lambda k: k + d))) for n in range(1, between + 2) for d in (-n, n)), F.lit(0))
+    return rows.select("id", hits.cast("long").alias("hits")).where("hits > 0")
 
 
 def stemmed_topk(docs: DataFrame, id_column: str, text_column: str, terms: DataFrame, k: int) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import cards, chunks, parse, segments, text
 from tessera.operators import audit, dense, fusion, gate, lexical, match, metrics, tree
+from tessera.operators.fields import stored
 from tessera.sources.store import json_lines, table
 from tessera.streaming import windows
 
@@ -58,8 +59,13 @@ def terms_of(t) -> DataFrame:
     return lexical.query_terms(t("benchmark"), "item_id", F.col("text"))
 
 
+def as_expressions(terms: DataFrame) -> DataFrame:
+    """Single words (qid, term) as search expressions."""
+    return terms.select("qid", F.lit("term").alias("kind"), F.array("term").alias("parts"))
+
+
 def bm25_lists(t, k: int) -> DataFrame:
-    return lexical.bm25_topk(t("documents"), "doc_id", {"text": 1.0}, terms_of(t), k)
+    return stored(t("documents"), "doc_id", ["text"]).search(as_expressions(terms_of(t)), k)
 
 
 @query("bm25_topk", f"WITH {BM25_SQL} SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bm) WHERE rank <= 5")
@@ -82,7 +88,7 @@ SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid
 def bm25_weighted(t):
     """BM25 over several weighted columns, as on a card."""
     docs = t("documents").withColumn("lead", F.expr("substring(text, 1, 200)"))
-    return lexical.bm25_topk(docs, "doc_id", {"text": 1.0, "source": 2.0, "lead": 3.0}, terms_of(t), 5)
+    return stored(docs, "doc_id", ["text", "source", "lead"]).search(as_expressions(terms_of(t)), 5, [1.0, 2.0, 3.0])
 
 
 @query("term_df", f"WITH {DOC_WORDS}, d AS (SELECT DISTINCT id, unnest(words) AS term FROM w) SELECT term, count(*) AS df FROM d GROUP BY term")

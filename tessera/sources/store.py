@@ -55,9 +55,10 @@ class Versioned:
         version = f"v-{uuid.uuid4().hex}"
         writer = rows.write
         (writer.partitionBy(self.partition) if self.partition else writer).parquet(f"{self.path}/{version}")
-        self._point(version)
+        self.point(version)
 
-    def _point(self, version: str) -> None:
+    def point(self, version: str) -> None:
+        """Names a version that is written as the current one."""
         pointers = self._pointers()
         number = int(pointers[-1].partition("=")[0]) + 1 if pointers else 1
         fs, at = _fs(self.spark, f"{self.path}/_versions/{number:012d}={version}")

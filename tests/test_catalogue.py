@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tessera.plans import records  # noqa: F401
+from tessera.plans import records, searches  # noqa: F401
 from tessera.plans.catalogue import ORACLE_SQL, QUERIES
 from tests.conftest import DATA
 

@@ -146,7 +146,7 @@ def test_failed_write_leaves_the_table(spark, monkeypatch):
         raise OSError("stopped")
 
     with monkeypatch.context() as m:
-        m.setattr(Versioned, "_point", stop)
+        m.setattr(Versioned, "point", stop)
         with pytest.raises(OSError):
             t.upsert(spark.range(2, 9).toDF("id"), "id")
     assert t.read().count() == 3 and Versioned(spark, t.path).read().count() == 3
