@@ -6,13 +6,16 @@ divisible by 100, and all benchmark strings with two compound words made of thei
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.cards import CARD_COLUMNS, WEIGHTS
 from tessera.operators import expressions as ex
+from tessera.operators import paging
 from tessera.operators.fields import FieldIndex, stored
-from tessera.plans.catalogue import query
+from tessera.plans.catalogue import FUSED_SQL, GATE_SQL, fused_rows, gate_rows, query
 from tessera.sources.store import shared_dir
 
 WORD = r"'[\p{L}\p{N}]+'"
@@ -164,3 +167,74 @@ def card_search(t):
 def index_figures(t):
     """Posting rows, terms, documents and words of the changed card index, from its log and dictionary."""
     return card_index(t).counts()
+
+
+def paged_rows(t) -> DataFrame:
+    """The fused lists with the relevance that a scorer would give."""
+    return gate_rows(t).select("qid", "id", "position", "pinned", "relevance")
+
+
+PASSES = "coalesce(pinned OR relevance >= 0.12, false)"
+
+
+@query(
+    "paging_requests",
+    f"""WITH RECURSIVE {GATE_SQL}, o AS (SELECT qid, id, position, {PASSES} AS pass, (position - 1) // 10 AS s FROM g),
+sl AS (SELECT qid, s, count(*) AS len, count(*) FILTER (pass) AS hits, bool_or(pass AND back <= 5) AS tail FROM (SELECT *, row_number() OVER (PARTITION BY qid, s ORDER BY position DESC) AS back FROM o) GROUP BY 1, 2),
+nn AS (SELECT qid, count(*) AS n FROM o GROUP BY 1),
+st AS (SELECT sl.qid, 1 AS request, 0 AS step, len AS scanned, tail, 30 AS budget, 0::BIGINT AS have, 0::BIGINT AS spare, hits AS shown, false AS closed FROM sl WHERE s = 0
+ UNION ALL SELECT st.qid, request + CASE WHEN closed THEN 1 ELSE 0 END, step + 1,
+  CASE WHEN NOT closed AND scan THEN scanned + x.len ELSE scanned END, CASE WHEN NOT closed AND scan THEN x.tail ELSE st.tail END,
+  CASE WHEN closed THEN 30 WHEN scan THEN budget - x.len ELSE budget END,
+  CASE WHEN closed THEN least(spare, least(10, 100 - shown - have)) WHEN scan THEN least(have + x.hits, size) ELSE have END,
+  CASE WHEN closed THEN spare - least(spare, least(10, 100 - shown - have)) WHEN scan THEN spare + have + x.hits - least(have + x.hits, size) ELSE spare END,
+  CASE WHEN closed THEN shown + have ELSE shown END, NOT closed AND NOT scan
+  FROM (SELECT st.*, least(10, 100 - shown) AS size, n, have < least(10, 100 - shown) AND budget > 0 AND tail AND scanned < n AS scan FROM st JOIN nn USING (qid)) st LEFT JOIN sl x ON x.qid = st.qid AND x.s = st.scanned // 10 WHERE request < 3 OR NOT closed),
+pg AS (SELECT qid, 0 AS request, hits AS have, 0::BIGINT AS before FROM sl WHERE s = 0 UNION ALL SELECT qid, request, have, shown FROM st WHERE closed),
+ps AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY position) AS k FROM o WHERE pass)
+SELECT pg.qid, request::BIGINT AS request, id, k - before AS slot FROM pg JOIN ps ON ps.qid = pg.qid AND k > before AND k <= before + have""",
+)
+def paging_requests(t):
+    """The first page and three further ones of every query: what is scored depends on what passed before."""
+    score = paging.by_relevance(0.12)
+    page, session = paging.opened(paged_rows(t), score)
+    pages = [page]
+    for _ in range(3):
+        page, session = paging.next_page(session, score)
+        pages.append(page)
+    return reduce(DataFrame.unionByName, [p.withColumn("request", F.lit(k)) for k, p in enumerate(pages)])
+
+
+FILTERED = "SELECT doc_id FROM documents WHERE lang = 'en' AND n_chars >= 500"
+
+
+@query(
+    "paging_filtered",
+    f"""WITH {GATE_SQL}, o AS (SELECT qid, id, position, {PASSES} AS pass FROM g),
+al AS (SELECT *, position <= 10 AND pass AS listed, row_number() OVER (PARTITION BY qid, position <= 10 ORDER BY position) AS k FROM o WHERE id IN ({FILTERED})),
+pe AS (SELECT *, (k - 1) // 10 AS s FROM al WHERE position > 10),
+sl AS (SELECT qid, s, count(*) FILTER (pass) AS hits FROM pe GROUP BY 1, 2),
+cu AS (SELECT *, coalesce(sum(hits) OVER (PARTITION BY qid ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, coalesce(min(hits) OVER (PARTITION BY qid ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS least_hits FROM sl),
+sc AS (SELECT qid, s FROM cu WHERE s < 4 AND before < 10 AND least_hits > 0),
+ok AS (SELECT qid, id, position FROM pe JOIN sc USING (qid, s) WHERE pass)
+SELECT qid, id, slot FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY position) AS slot FROM ok) WHERE slot <= 10""",
+)
+def paging_filtered(t):
+    """The second page among the documents of a filter, after a first page without it."""
+    score = paging.by_relevance(0.12)
+    rows = paged_rows(t)
+    _, session = paging.opened(rows, score)
+    allowed = rows.join(t("documents").where("lang = 'en' and n_chars >= 500").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    return paging.filtered_page(session, allowed, score)[0]
+
+
+@query(
+    "category_browse",
+    f"""WITH {FUSED_SQL}, h AS (SELECT doc_id AS id, count(DISTINCT p) AS found FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '(?:^|[^a-z])(license|apache|with|thnd)(?:[^a-z]|$)', 1)) AS p FROM documents) GROUP BY 1)
+SELECT qid, id, slot FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY found DESC, position) AS slot FROM fused JOIN h USING (id) WHERE position <= 30) WHERE slot <= 10""",
+)
+def category_browse(t):
+    """Of the first thirty documents of every query those with a category's phrases, the most phrases first."""
+    rows = fused_rows(t).select("qid", "id", "position", "pinned")
+    texts = t("documents").select(F.col("doc_id").alias("id"), "text")
+    return paging.opened(rows, paging.by_phrases(texts, ["license", "apache", "with", "thnd"]), paging.CATEGORY_WINDOW)[0]
