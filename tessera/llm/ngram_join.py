@@ -5,7 +5,7 @@ A document's set is its distinct 4-word shingles. Two documents link when
 
 Light sets (at most ``boundary`` shingles): sets of sizes n and m link exactly when they share
 o(n, m) = ceil(85 (n + m) / 185) shingles. Each light set enumerates its subsets of every size o(n, m)
-that a partner could need; who shares a subset is linked, without a further check. Within a subset's
+that a partner could need; who shares a subset's key is checked on the sets. Within a subset's
 list everybody links to the smallest member where anybody links at all, so a list gives as many
 links as it has members.
 
@@ -311,7 +311,8 @@ def jaccard_join(documents: DataFrame, id_column: str = "doc_id", text_column: s
     shared = shared.withColumn("spread", F.count("*").over(Window.partitionBy("id")))
     shared = saved(shared, "lists")
 
-    # Light sets: the smallest member of a subset's list links with all that link in it.
+    # Light sets: the smallest member of a subset's list with all that share the subset's key. Keys have 64 bits, so
+    # that these pairs too are checked on the sets: one false link would join two components.
     light = shared.where("c > 0")
     pivot = light.groupBy("token", "c").agg(F.min(F.struct("n", "id")).alias("p"), F.count("*").alias("k")).where("k > 1")
     light = light.join(pivot.select("token", "c", "p"), ["token", "c"]).where(f"id <> p.id and c * {100 + percent} >= {percent} * (n + p.n)")
@@ -322,8 +323,8 @@ def jaccard_join(documents: DataFrame, id_column: str = "doc_id", text_column: s
     pivot = heavy.groupBy("token").agg(F.max(F.struct("spread", F.xxhash64("id").alias("r"), "id", "n")).alias("p"), F.count("*").alias("k")).where("k > 1")
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     pairs = heavy.join(pivot.select("token", F.col("p.id").alias("b"), F.col("p.n").alias("m")), "token").where(f"id <> b and {fits}")
-    pairs = saved(pairs.select(F.col("id").alias("a"), "b").distinct(), "pairs")
-    links = saved(linked(pairs, sketches, texts, k, percent).unionByName(light), "links")
+    pairs = saved(pairs.select(F.col("id").alias("a"), "b").unionByName(light).distinct(), "pairs")
+    links = saved(linked(pairs, sketches, texts, k, percent), "links")
 
     # Second round: members of different components.
     label = components(links)

@@ -82,6 +82,18 @@ def test_ngram_join(docs, rows, none):
     assert ngram_join.jaccard_join(none).count() == 0
 
 
+def test_pairs_of_equal_keys_are_checked(spark):
+    """Pairs that a collision of keys would bring don't link; those that do link stay."""
+    words = [f"w{k}" for k in range(40)]
+    texts = {1: " ".join(words[:12]), 2: " ".join(words[20:32]), 3: " ".join([*words[:11], "other"]), 4: " ".join(words[:12]) + " more"}
+    df = spark.createDataFrame([*texts.items()], "id long, text string")
+    base = df.mapInArrow(ngram_join.summarise(4), ngram_join.BASE)
+    sketches = base.where("kind = 0").select("id", "n", "sketch")
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts if a < b], "a long, b long")
+    got = {(r.a, r.b) for r in ngram_join.linked(pairs, sketches, df, 4, 85).collect()}
+    assert got == {(1, 4)}
+
+
 def test_light_sets_share_a_needed_subset():
     for n in range(1, 15):
         for m in range(n, 18):
