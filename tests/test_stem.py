@@ -14,11 +14,3 @@ def test_published_examples(word, root):
 def test_fold():
     assert fold("NÓOR") == "noor"
 
-
-def test_sections(spark):
-    from tessera.functions import segments
-
-    text = "Title\n\nBackground of it\nLearned counsel spoke\nWe have heard them\nmore words\nThe appeal is dismissed"
-    docs = spark.createDataFrame([(1, text), (2, None), (3, "no anchors")], "id long, text string")
-    got = {(r.id, r.section): (r["first"], r["last"]) for r in segments.sections(segments.paragraphs(docs, "id", "text")).collect()}
-    assert got == {(1, "HEADER"): (0, 0), (1, "FACTS"): (1, 1), (1, "ARGUMENTS"): (2, 2), (1, "ANALYSIS"): (3, 4), (1, "ORDER"): (5, 5), (3, "HEADER"): (0, 0)}
