@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import last_year
+from tessera.sources.store import kept
 
 
 def store_audit(docs: DataFrame, stores: dict[str, DataFrame], required: list[str]) -> DataFrame:
@@ -57,7 +57,7 @@ def stage_stats(df: DataFrame, by: str, value: str) -> DataFrame:
     figures = df.groupBy(by).agg(F.count(value).alias("n"), F.round(F.sum(value), 4).alias("total"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("most"))
     # ranks come from counts of ranges of values, then of values within the one range that holds the rank: no task holds a group
     held = df.where(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).alias("x")).groupBy("g", "x").agg(F.count("*").alias("c"))
-    held = held.repartitionByRange("g", "x").withColumn("part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    held = kept(held.repartitionByRange("g", "x").withColumn("part", F.spark_partition_id()), "ranges")
     parts = held.groupBy("g", "part").agg(F.sum("c").alias("c"))
     parts = parts.withColumn("below", F.sum("c").over(Window.partitionBy("g").orderBy("part")) - F.col("c"))
     ranks = figures.select(F.col(by).alias("rg"), "n").select("rg", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.bround(F.lit(p) * (F.col("n") - 1), 0).cast("long").alias("at")) for p in (0.5, 0.95)])).alias("r")).select("rg", "r.*")
@@ -88,10 +88,45 @@ def dedupe_first(df: DataFrame, norm: Column, order: list) -> DataFrame:
     return df.withColumn("norm", norm).withColumn("rn", F.row_number().over(Window.partitionBy("norm").orderBy(*order))).where("rn = 1").drop("rn", "norm")
 
 
+def quotas(sizes: DataFrame, n: int) -> DataFrame:
+    """(stratum, size, quota): n rows dealt to strata (stratum, size) by their shares: the whole part, at least one; what is
+    too much goes from the largest quotas, what is left to the largest remainders. Ties go by the stratum."""
+    total = sizes.agg(F.sum("size").alias("all"))
+    rows = sizes.crossJoin(F.broadcast(total)).withColumn("exact", F.lit(n) * F.col("size") / F.col("all"))
+    rows = rows.withColumn("quota", F.greatest(F.lit(1), F.floor("exact")).cast("long")).withColumn("rest", F.col("exact") - F.floor("exact"))
+    dealt = rows.agg(F.sum("quota")).first()[0] or 0
+    if dealt > n:
+        # a quota's units, the highest first, are taken away one by one: n and a unit a stratum at most
+        units = rows.select("stratum", F.explode(F.sequence(F.lit(1).cast("long"), F.col("quota"))).alias("unit"))
+        gone = units.orderBy(F.desc("unit"), "stratum").limit(dealt - n).groupBy(F.col("stratum").alias("whose")).agg(F.count("*").alias("gone"))
+        rows = rows.join(gone, F.col("stratum").eqNullSafe(F.col("whose")), "left").select("stratum", "size", (F.col("quota") - F.coalesce("gone", F.lit(0))).alias("quota"))
+    elif dealt < n:
+        more = rows.orderBy(F.desc("rest"), "stratum").limit(n - dealt).select(F.col("stratum").alias("lucky"), F.lit(1).alias("more"))
+        rows = rows.join(more, F.col("stratum").eqNullSafe(F.col("lucky")), "left").withColumn("quota", F.col("quota") + F.coalesce("more", F.lit(0)))
+    return rows.select("stratum", "size", F.least("quota", "size").alias("quota"))
+
+
 def choose_sample(df: DataFrame, stratum: str, id_column: str, n: int, salt: str) -> DataFrame:
-    """A stratified sample of about n rows in hash order: each stratum by its share, at least one."""
-    order = Window.partitionBy(stratum).orderBy(F.sha2(F.concat(F.lit(salt), F.col(id_column).cast("string")), 256), id_column)
-    sizes = df.groupBy(stratum).agg(F.count("*").alias("size"))
-    total = df.agg(F.count("*").alias("all"))
-    quota = F.greatest(F.lit(1), F.floor(F.col("size") * F.lit(n) / F.col("all")))
-    return df.withColumn("rn", F.row_number().over(order)).join(sizes, stratum).crossJoin(F.broadcast(total)).where(F.col("rn") <= quota).drop("rn", "size", "all")
+    """A stratified sample of n rows (all, where there are fewer): of each stratum its quota, in hash order.
+
+    No stratum is sorted whole: only rows whose hash lies under a bound, which lets through the quota and a margin, are
+    ordered; strata where too few lie under it are tried again with a wider margin.
+    """
+    digest = F.sha2(F.concat(F.lit(salt), F.coalesce(F.col(id_column).cast("string"), F.lit(""))), 256)
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(stratum).alias("stratum"), F.col(id_column).alias("id"), digest.alias("digest"))
+    rows = rows.withColumn("u", F.conv(F.substring("digest", 1, 13), 16, 10).cast("double") / float(1 << 52))
+    wanted = quotas(df.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("size")), n)
+    wanted = kept(wanted.where("quota > 0").select(F.col("stratum").alias("s"), "size", "quota"), "quotas")
+    order = Window.partitionBy("s").orderBy("digest", "id")
+    out, margin = None, 6.0
+    while not wanted.isEmpty():
+        bound = (F.col("quota") + margin * (F.sqrt("quota") + 3)) / F.col("size")
+        near = kept(rows.join(wanted, F.col("stratum").eqNullSafe(F.col("s"))).where(F.col("u") <= bound), "sample")
+        counts = near.groupBy("s").agg(F.count("*").alias("found"))
+        short = wanted.join(counts.withColumnRenamed("s", "t"), F.col("s").eqNullSafe(F.col("t")), "left").where("coalesce(found, 0) < quota").select("s", "size", "quota")
+        short = kept(short, "short")
+        full = near.join(short.select(F.col("s").alias("t")), F.col("s").eqNullSafe(F.col("t")), "left_anti")
+        chosen = full.withColumn("rn", F.row_number().over(order)).where("rn <= quota").select("row.*")
+        out = chosen if out is None else out.unionByName(chosen)
+        wanted, margin = short, margin * 8
+    return df.where("false") if out is None else out

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import cards, chunks, parse, text
-from tessera.operators import audit, dense, fusion, gate, lexical, match, metrics, tree
+from tessera.operators import audit, dense, fusion, gate, lexical, match, metrics, similar, tree
 from tessera.operators.fields import stored
 from tessera.sources.store import json_lines, table
 from tessera.streaming import windows
@@ -705,8 +705,15 @@ def text_dedupe(t):
     return audit.dedupe_first(t("documents"), F.sha2(norm, 256), ["source", "doc_id"]).select("doc_id", "source")
 
 
-@query("stratified_sample", "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('s' || doc_id), doc_id) AS rn, count(*) OVER (PARTITION BY source) AS size, count(*) OVER () AS total FROM documents) SELECT doc_id, source FROM r WHERE rn <= greatest(1, floor(size * 100 / total))")
+@query(
+    "stratified_sample",
+    """WITH sz AS (SELECT source AS s, count(*) AS size, 100 * count(*)::DOUBLE / (SELECT count(*) FROM documents) AS exact FROM documents GROUP BY 1), q0 AS (SELECT s, size, greatest(1, floor(exact))::BIGINT AS q, exact - floor(exact) AS rest FROM sz), tt AS (SELECT sum(q) AS dealt FROM q0),
+un AS (SELECT s, row_number() OVER (ORDER BY u DESC, s) AS k FROM (SELECT s, unnest(generate_series(1, q)) AS u FROM q0)), ls AS (SELECT s, count(*) AS n FROM un, tt WHERE k <= dealt - 100 GROUP BY 1), mo AS (SELECT s FROM (SELECT s, row_number() OVER (ORDER BY rest DESC, s) AS k FROM q0), tt WHERE k <= 100 - dealt),
+qu AS (SELECT s, q - coalesce(ls.n, 0) + CASE WHEN mo.s IS NULL THEN 0 ELSE 1 END AS quota FROM q0 LEFT JOIN ls USING (s) LEFT JOIN mo USING (s)), r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('s' || doc_id), doc_id) AS rn FROM documents)
+SELECT doc_id, source FROM r JOIN qu ON s = source WHERE rn <= quota""",
+)
 def stratified(t):
+    """A hundred documents, dealt to sources by largest remainders, in hash order."""
     return audit.choose_sample(t("documents").select("doc_id", "source"), "source", "doc_id", 100, "s")
 
 
@@ -866,13 +873,18 @@ def facet_relevance(t):
 
 @query("fuzzy_words", f"WITH w AS (SELECT DISTINCT unnest({WORDS}) AS word FROM benchmark), t AS (SELECT lower(n_name) AS target FROM nation UNION SELECT unnest(['that', 'there', 'nation', 'estion'])) SELECT word, target, levenshtein(word, target) AS distance FROM w, t WHERE 1 - levenshtein(word, target)::DOUBLE / greatest(length(word), length(target)) >= 0.75")
 def fuzzy_words(t):
-    """Words of query strings that nearly equal a target; the targets are a short list, so every pair is compared."""
+    """Words of query strings that are few edits from a target."""
     words = t("benchmark").select(F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("word")).distinct()
     extra = t("region").sparkSession.createDataFrame([("that",), ("there",), ("nation",), ("estion",)], "target string")
     targets = t("nation").select(F.lower("n_name").alias("target")).union(extra).distinct()
-    distance = F.levenshtein("word", "target")
-    near = 1 - distance / F.greatest(F.length("word"), F.length("target")) >= 0.75
-    return words.join(targets, near).select("word", "target", distance.alias("distance"))
+    return similar.close_words(words, targets, 0.75)
+
+
+@query("similar_words")
+def similar_words(t):
+    """Words of all documents that read as one of the query strings' words, by matching blocks."""
+    own = lambda name, key: t(name).select(F.explode(F.array_distinct(text.tokens(F.col("text")))).alias(key)).distinct()
+    return similar.similar_words(own("documents", "word"), own("benchmark", "target").where(F.length("target") >= 6), 0.85)
 
 
 @query("quota_with_refunds", "SELECT user_id, ts::DATE::VARCHAR AS day, sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END)::BIGINT AS used FROM events GROUP BY 1, 2")

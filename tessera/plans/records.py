@@ -9,6 +9,7 @@ from tessera.functions import parse, text
 from tessera.operators.postings import PostingIndex
 from tessera.plans.catalogue import BM25_SQL, FUSED_SQL, GRADES_SQL, ITEM_DENSE_SQL, LISTS_SQL, OUTCOME, POSITIONS, WORDS, candidate_lists, fused_rows, grades, query, terms_of
 from tessera.sources.store import shared_dir
+from tessera.streaming import windows
 
 NAMES = r"([A-Z][\w.]*(?: [A-Z][\w.]*){0,4}) (?:v|vs|versus)\.? ([A-Z][\w.]*(?: [A-Z][\w.]*){0,4})"
 PAGE_MARKS = r"(?im)^[ \t]*(?:-{2,}[ \t]*)?page[ \t]+[0-9]+(?:[ \t]+of[ \t]+[0-9]+)?(?:[ \t]*-{2,})?[ \t]*$"
@@ -151,3 +152,25 @@ def index_phrase_near(t):
     index.compact()
     near, phrase = index.near("of", "the", 2).withColumnRenamed("hits", "near"), index.phrase(["of", "the"]).withColumnRenamed("hits", "phrase")
     return near.join(phrase, "id", "left").select("id", F.coalesce("phrase", F.lit(0)).alias("phrase"), "near")
+
+
+@query("limited_calls")
+def limited_calls(t):
+    """Purchases as calls of the foreground, other events as background, two slots a half day and user; errors are tried again."""
+    rows = t("events").withColumn("background", F.col("event_type") != "purchase").withColumn("again", F.when(F.col("event_type") == "error", 600))
+    return windows.limited(rows, "user_id", "ts", "event_id", "background", "again", rate=2, period=43_200, reserve=1, wait=7_200, background_wait=86_400)
+
+
+@query("event_markers")
+def event_markers(t):
+    """Each user's event type once in three days, and again after one in ten that fails."""
+    rows = t("events").withColumn("mark", F.concat_ws(":", "user_id", "event_type")).withColumn("failed", F.col("event_id") % 10 == 0)
+    return windows.marked(rows, "mark", "ts", "event_id", "failed", 3 * 86_400)
+
+
+@query("replaced_subscriptions", "WITH s AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'sub' || event_id % 3 END AS sub, CASE user_id % 7 WHEN 0 THEN NULL ELSE 'sub' || user_id % 3 END AS own FROM events) SELECT event_id, sub, own FROM s WHERE sub <> '' AND own <> '' AND sub <> own")
+def replaced_subscriptions(t):
+    """Events about a subscription that is no longer the user's."""
+    sub = F.expr("case event_id % 5 when 0 then null when 1 then '' else concat('sub', event_id % 3) end")
+    own = F.expr("case user_id % 7 when 0 then null else concat('sub', user_id % 3) end")
+    return windows.replaced(t("events").select("event_id", sub.alias("sub"), own.alias("own")), "sub", "own")
