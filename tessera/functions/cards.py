@@ -162,37 +162,36 @@ def query_type_of(c: Column) -> Column:
 
 #: Words that say nothing of a subject; for each category the words that name it in a query, and the phrases that show it
 #: in a text (fixed values).
-GENERIC = """
-    a an the of on in for with about regarding related to and or any all some
-    show me find give list get search see want need
-    legal law laws dispute disputes case cases matter matters issue issues
-    judgment judgments judgement judgements decision decisions court courts
-    appeal appeals petition petitions suit suits litigation proceedings
-    supreme high pakistan type kind kinds sort example examples
-""".split()
+GENERIC = (
+    "a", "an", "the", "of", "on", "in", "for", "with", "about", "regarding", "related", "to", "and", "or",
+    "any", "all", "some", "show", "me", "find", "give", "list", "get", "search", "see", "want", "need", "legal",
+    "law", "laws", "dispute", "disputes", "case", "cases", "matter", "matters", "issue", "issues", "judgment", "judgments", "judgement", "judgements",
+    "decision", "decisions", "court", "courts", "appeal", "appeals", "petition", "petitions", "suit", "suits", "litigation", "proceedings", "supreme", "high",
+    "pakistan", "type", "kind", "kinds", "sort", "example", "examples",
+)
 TRIGGERS = {
-    "family": "family families matrimonial marital domestic marriage",
-    "property": "property properties land lands ownership title possession tenancy rent revenue",
-    "service": "service employment employee employees servant servants civil job jobs",
-    "election": "election elections electoral poll polls vote votes",
-    "criminal": "criminal crime crimes murder offence offences",
-    "bail": "bail",
-    "tax": "tax taxes taxation customs duty",
-    "intellectual_property": "trademark trademarks trade mark marks copyright patent patents brand brands intellectual",
-    "contract": "contract contracts agreement agreements",
-    "constitutional": "constitutional constitution fundamental rights writ",
+    "family": ("family", "families", "matrimonial", "marital", "domestic", "marriage"),
+    "property": ("property", "properties", "land", "lands", "ownership", "title", "possession", "tenancy", "rent", "revenue"),
+    "service": ("service", "employment", "employee", "employees", "servant", "servants", "civil", "job", "jobs"),
+    "election": ("election", "elections", "electoral", "poll", "polls", "vote", "votes"),
+    "criminal": ("criminal", "crime", "crimes", "murder", "offence", "offences"),
+    "bail": ("bail",),
+    "tax": ("tax", "taxes", "taxation", "customs", "duty"),
+    "intellectual_property": ("trademark", "trademarks", "trade", "mark", "marks", "copyright", "patent", "patents", "brand", "brands", "intellectual"),
+    "contract": ("contract", "contracts", "agreement", "agreements"),
+    "constitutional": ("constitutional", "constitution", "fundamental", "rights", "writ"),
 }
 PHRASES = {
-    "family": "dower; haq mehr; nikah; nikahnama; nikah nama; khula; talaq; divorce; dissolution of marriage; maintenance allowance; custody of minor; guardianship; family court; family settlement; widow; legal heirs; inheritance; husband; wife",
-    "property": "mutation; khasra; revenue record; declaration of ownership; recovery of possession; possession of the land; sale deed; tenancy; ejectment; pre-emption; evacuee; proprietary rights",
-    "service": "civil servant; service tribunal; promotion; seniority; dismissal from service; removal from service; reinstatement; departmental inquiry; regularisation; regularization",
-    "election": "election petition; election tribunal; returned candidate; polling; re-poll; constituency; representation of the people act",
-    "criminal": "murder; qatl; conviction; acquittal; sentence; f.i.r; fir; pakistan penal code; ppc",
-    "bail": "bail; pre-arrest; post-arrest",
-    "tax": "income tax; sales tax; customs duty; tax assessment; federal board of revenue",
-    "intellectual_property": "trade mark; trademark; copyright; patent infringement; patents ordinance; passing off; registrar of trade marks",
-    "contract": "breach of contract; specific performance; agreement to sell",
-    "constitutional": "article 199; article 184; article 185; fundamental rights; writ petition; constitution petition",
+    "family": ("dower", "haq mehr", "nikah", "nikahnama", "nikah nama", "khula", "talaq", "divorce", "dissolution of marriage", "maintenance allowance", "custody of minor", "guardianship", "family court", "family settlement", "widow", "legal heirs", "inheritance", "husband", "wife"),
+    "property": ("mutation", "khasra", "revenue record", "declaration of ownership", "recovery of possession", "possession of the land", "sale deed", "tenancy", "ejectment", "pre-emption", "evacuee", "proprietary rights"),
+    "service": ("civil servant", "service tribunal", "promotion", "seniority", "dismissal from service", "removal from service", "reinstatement", "departmental inquiry", "regularisation", "regularization"),
+    "election": ("election petition", "election tribunal", "returned candidate", "polling", "re-poll", "constituency", "representation of the people act"),
+    "criminal": ("murder", "qatl", "conviction", "acquittal", "sentence", "f.i.r", "fir", "pakistan penal code", "ppc"),
+    "bail": ("bail", "pre-arrest", "post-arrest"),
+    "tax": ("income tax", "sales tax", "customs duty", "tax assessment", "federal board of revenue"),
+    "intellectual_property": ("trade mark", "trademark", "copyright", "patent infringement", "patents ordinance", "passing off", "registrar of trade marks"),
+    "contract": ("breach of contract", "specific performance", "agreement to sell"),
+    "constitutional": ("article 199", "article 184", "article 185", "fundamental rights", "writ petition", "constitution petition"),
 }
 MOST_CATEGORY_WORDS = 5
 
@@ -204,7 +203,7 @@ def category_of(c: Column) -> Column:
     telling = F.filter(words, lambda w: ~w.isin(*GENERIC))
     out = F.when((F.size(words) == 0) | (F.size(words) > MOST_CATEGORY_WORDS), "none").when(F.size(telling) == 0, "too_broad")
     for name, own in TRIGGERS.items():
-        out = out.when(F.size(F.array_except(telling, F.array(*[F.lit(w) for w in own.split()]))) == 0, name)
+        out = out.when(F.size(F.array_except(telling, F.array(*[F.lit(w) for w in own]))) == 0, name)
     return out.otherwise("none")
 
 
@@ -212,12 +211,12 @@ def category_phrases_of(c: Column, category: str) -> Column:
     """The category's phrases that a text holds between non-letters, sorted."""
     from tessera.functions.text import phrase_hits
 
-    return phrase_hits(c, [p.replace(".", r"\.") for p in PHRASES[category].split("; ")])
+    return phrase_hits(c, [p.replace(".", r"\.") for p in PHRASES[category]])
 
 
 def category_text(category: str) -> str:
     """A category as a query: all its phrases."""
-    return PHRASES[category].replace(";", "")
+    return " ".join(PHRASES[category])
 
 
 def ungrounded(sentence: str, source: str) -> list[str]:

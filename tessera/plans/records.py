@@ -23,13 +23,10 @@ def explicit_names(t):
     return t("documents").select("doc_id", side(1).alias("first"), side(2).alias("second"))
 
 
-ACT_SQL = parse.ACT.replace("'", "''")
-
-
-@query("years_without_statutes", f"SELECT doc_id, list_aggregate(list_sort(list_distinct(regexp_extract_all(regexp_replace(coalesce(text, ''), '{ACT_SQL}', ' ', 'g'), '(?:19|20)[0-9][0-9]'))), 'string_agg', ',') AS years FROM documents")
+@query("years_without_statutes", f"SELECT doc_id, list_aggregate(list_sort(list_distinct(regexp_extract_all(regexp_replace(coalesce(text, ''), '{parse.ACT_YEAR}', ' ', 'g'), '(?:19|20)[0-9][0-9]'))), 'string_agg', ',') AS years FROM documents")
 def years_without_statutes(t):
     """The years of a text but for those of the acts that it names."""
-    years = F.regexp_extract_all(F.regexp_replace(F.coalesce("text", F.lit("")), parse.ACT, " "), F.lit("(?:19|20)[0-9][0-9]"), F.lit(0))
+    years = F.regexp_extract_all(F.regexp_replace(F.coalesce("text", F.lit("")), parse.ACT_YEAR, " "), F.lit("(?:19|20)[0-9][0-9]"), F.lit(0))
     return t("documents").select("doc_id", F.nullif(F.array_join(F.array_sort(F.array_distinct(years)), ","), F.lit("")).alias("years"))
 
 

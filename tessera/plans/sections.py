@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import segments
+from tessera.functions import metadata, segments
 from tessera.functions.segments import HEADINGS, OUTCOMES, PENALTIES, SECTIONS, SHARES, TRAILERS
 from tessera.plans.catalogue import query
 
@@ -112,3 +112,37 @@ WIDE_SQL = ", ".join(f"{FOLD.format(f'max(CASE WHEN section = {s!r} THEN text EN
 def parse_quality(t):
     """What the sections of each document lack, by ten checks."""
     return segments.quality(segments.section_texts(spanned(t))).withColumn("issues", F.array_join("issues", ","))
+
+
+JUDGMENT = """concat('--- PAGE 1 ---', chr(10), 'SUPREME COURT', chr(10), 'PRESENT:', chr(10), 'Mr. Justice ', CASE WHEN doc_id % 2 = 0 THEN 'Ali Khan' ELSE 'Omar Shah, CJ' END, chr(10), 'CIVIL APPEALS NO. ', doc_id, '-K AND ', doc_id + 1, ' OF 20', 10 + doc_id % 9, chr(10),
+ '(On appeal from the judgment dated 3.', 1 + doc_id % 12, '.2009 passed by the Peshawar High Court in W.P. No. 7/2008)', chr(10), 'Person ', lang, chr(10), 'Versus', chr(10), 'The State and others', chr(10), CASE WHEN doc_id % 3 = 0 THEN 'Date of decision: 05.06.2019' ELSE 'Date of hearing: 1st May, 2018' END, chr(10), 'JUDGMENT', chr(10),
+ replace(coalesce(text, ''), 'Date of', ''), chr(10), repeat('filler ', 110), chr(10), CASE WHEN doc_id % 5 = 0 THEN concat('Announced on 7.8.', 2015 + doc_id % 4) WHEN doc_id % 5 = 1 THEN 'Lahore, the 2nd March, 2016' ELSE 'The appeal is dismissed.' END)"""
+
+
+@query(
+    "judgment_metadata",
+    f"""WITH j AS (SELECT doc_id AS id, 'CA-' || doc_id || '-K-20' || 10 + doc_id % 9 AS a, 'CA-' || doc_id + 1 || '-20' || 10 + doc_id % 9 AS b, lang, {JUDGMENT} AS text FROM documents)
+SELECT id, a || ',' || b AS case_keys, 'Civil Appeal No. ' || id || '-K of 20' || 10 + id % 9 || ' (+1 connected)' AS case_display, CASE WHEN id % 2 = 0 THEN 'Ali Khan' ELSE 'Omar Shah (CJ)' END AS bench, 'Person ' || lang AS appellant, 'The State' AS respondent, 'Peshawar High Court' AS lower_court,
+ '03.' || lpad((1 + id % 12)::VARCHAR, 2, '0') || '.2009' AS impugned_date, CASE WHEN id % 3 = 0 THEN '05.06.2019' WHEN id % 5 = 0 THEN '07.08.' || 2015 + id % 4 WHEN id % 5 = 1 THEN '02.03.2016' ELSE '01.05.2018' END AS decision_date,
+ CASE WHEN id % 3 = 0 THEN 'caption_decision' WHEN id % 5 = 0 THEN 'announced' WHEN id % 5 = 1 THEN 'signature' ELSE 'hearing' END AS decision_date_source, CASE WHEN id % 5 > 1 THEN 'dismissed' ELSE 'unknown' END AS outcome FROM j""",
+)
+def judgment_metadata(t):
+    """The fields of every document behind a caption of its own."""
+    docs = t("documents").select("doc_id", F.expr(JUDGMENT).alias("text"))
+    rows = metadata.metadata(docs, "doc_id", "text")
+    return rows.select("id", F.array_join("case_keys", ",").alias("case_keys"), "case_display", F.array_join("bench", ",").alias("bench"), "appellant", "respondent", "lower_court", "impugned_date", "decision_date", "decision_date_source", "outcome")
+
+
+ASKED = "concat(c_name, CASE WHEN c_custkey % 2 = 0 THEN ' v. ' ELSE ' and ' END, c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN concat(' C.A. ', c_custkey, '-L/2014') ELSE '' END, CASE WHEN c_custkey % 5 = 0 THEN ' under section 302 PPC in Quetta' ELSE ' in 2011 and 1930' END, CASE WHEN c_custkey % 7 = 0 THEN ' appeal dismissed' ELSE '' END)"
+
+
+@query(
+    "query_analysis",
+    """SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'CA-' || c_custkey || '-L-2014' ELSE '' END AS keys, CASE WHEN c_custkey % 5 = 0 THEN 'Section 302 PPC' ELSE '' END AS statutes, CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 5 = 0 THEN '2014' ELSE '2014,2011' END WHEN c_custkey % 5 = 0 THEN '' ELSE '2011' END AS years,
+ CASE WHEN c_custkey % 3 = 0 THEN 'L' WHEN c_custkey % 5 = 0 THEN 'Q' END AS registry, CASE WHEN c_custkey % 7 = 0 THEN 'dismissed' END AS outcome, c_custkey % 2 = 0 AS versus FROM customer""",
+)
+def query_analysis(t):
+    """What query strings name: cases, statutes, years, a registry, an outcome, parties."""
+    rows = metadata.query_analysis(t("customer").select("c_custkey", F.expr(ASKED).alias("text")), "c_custkey", "text")
+    joined = lambda c: F.array_join(c, ",")
+    return rows.select("id", joined(F.transform("case_refs", lambda r: r["key"])).alias("keys"), joined("statutes").alias("statutes"), joined(F.col("years").cast("array<string>")).alias("years"), "registry", "outcome", (F.size("parties") == 2).alias("versus"))
