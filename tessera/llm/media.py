@@ -10,17 +10,18 @@ least ``INLIERS`` corners vote for the same change.
 Tables: single descriptors are far from unique, so a table's key is made of a corner and one of its ``NEAREST``
 neighbours: ``KEY_BITS`` sampled bits of both, their distance, the direction from one to the other and the
 difference of their orientations, the latter three in cells. Entries also carry ``MORE_BITS`` further bits of both.
-Each of the ``TABLES`` tables is sorted by key and further bits; an entry meets the next ``REACH`` entries of its key,
-which are those that agree in the longest run of further bits. A hit is a pair within ``NEAR`` bits, fewer where
-many entries have the key, as more of those agree by chance. Pictures
-with ``HITS`` hits are compared whole: all descriptors, then the consensus. So a key that very many pictures share
-costs REACH comparisons an entry, not a square, and no task holds a key: tables are dealt by ranges of all sort
-columns. Recall against exhaustive comparison is measured in the README and the tests.
+A hit is a pair of entries of one table with the same key that differ in at most ``NEAR`` further bits. All entries of a key
+are compared, so what is found depends on the two pictures alone, not on how many others there are or how they lie.
+A key with more than ``CROWD`` entries is split by its further bits: of eight groups of them, entries that near agree
+in one whole group at least, so they meet in the buckets of a group's value, and count in the first that they share. Pictures
+with ``HITS`` hits are compared whole: all descriptors, then the consensus. Recall against exhaustive comparison is in the tests.
 
 Equal pictures are one class, by a hash of their bytes, and are searched once.
 
-Scale: one pass describes the pictures; one shuffle sorts the tables, one adds up hits; the corners come back to the
-candidates by a broadcast while they have at most ``BROADCAST`` bytes, else by joins. All grow with the pictures.
+Scale: one pass describes the pictures; one shuffle brings the entries of a key together, one adds up hits; the corners come back to the
+candidates by a broadcast while they have at most ``BROADCAST`` bytes, else by joins. A task holds a bucket (32 bytes an
+entry). Chance hits of unlike pictures grow with the square of their number; longer keys (``KEY_BITS``) and more tables keep
+them down.
 
 Defined cases: null, empty or misshapen pictures (fewer than 32 pixels a side, bytes that are no whole rows) and flat
 ones have no corners and link with nothing; null ids are left out; an id with several pictures has a row for each;
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import as_long, batch, bounded, look_up, saved
+from tessera.llm.arrow import BROADCAST_ROWS, as_long, batch, bounded, look_up, saved, small
 from tessera.llm.components import components
 
 SIDE = 64
@@ -50,11 +51,11 @@ HAMMING = 18
 INLIERS = 7
 #: Tables: how many, neighbours of a corner, sampled bits of each corner in the key and beside it, cells of the
 #: difference of orientations and of the direction, octaves of a cell of distance.
-TABLES, NEAREST, KEY_BITS, MORE_BITS, TURN_CELLS, WAY_CELLS, OCTAVES = 3, 5, 9, 28, 6, 6, 0.7
-#: Following entries that an entry meets, and the hits that make a candidate.
-REACH, HITS = 24, 2
-#: Further bits that may differ in a hit, by how many entries of the same key follow at least.
-NEAR = {0: 9, 6: 7, REACH: 5}
+TABLES, NEAREST, KEY_BITS, MORE_BITS, TURN_CELLS, WAY_CELLS, OCTAVES = 4, 5, 9, 28, 6, 6, 0.7
+#: Further bits that may differ in a hit, their groups, and the hits that make a candidate.
+NEAR, GROUPS, HITS = 7, 8, 2
+#: Entries of a key from which it is split by its further bits.
+CROWD = 4096
 BROADCAST = 64 << 20
 PICTURES, ENTRIES = 64, 1 << 16
 
@@ -251,41 +252,61 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _HITS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+_GROUP = 2 * MORE_BITS // GROUPS
+
+
+def _split(tables: DataFrame) -> DataFrame:
+    """(entry, part, more, key): entries with the bucket that they meet in: their key's (part -1), or one for each group
+    of further bits where the key has more than CROWD entries."""
+    crowded = tables.groupBy("entry").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("entry")
+    crowded = saved(crowded, "crowded")
+    if crowded.isEmpty():
+        return tables.select("entry", F.lit(-1).alias("part"), "more", "key")
+    near = F.broadcast(crowded) if small(crowded, BROADCAST_ROWS) else crowded
+    cold = tables.join(near, "entry", "left_anti").select("entry", F.lit(-1).alias("part"), "more", "key")
+    hot = tables.join(near, "entry", "left_semi")
+    parts = F.array(*[F.shiftrightunsigned("more", g * _GROUP).bitwiseAND((1 << _GROUP) - 1).cast("int") + (g << _GROUP) for g in range(GROUPS)])
+    return cold.unionByName(hot.select("entry", F.explode(parts).alias("part"), "more", "key"))
 
 
 def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of pictures (a < b) whose entries lie near each other in sorted entries, with the number of hits."""
+    """Pairs of pictures (a < b) with entries of a bucket that are near each other, and how many. Rows (entry, part, more, key)
+    come sorted by bucket."""
 
-    def blocks():
+    def buckets():
         held, size = [], 0
-        for rows in batches:
-            held.append(np.stack([np.asarray(c) for c in rows.columns]))
-            size += rows.num_rows
-            if size >= ENTRIES:
-                yield np.concatenate(held, axis=1)
-                held, size = [], 0
-        if held:
-            yield np.concatenate(held, axis=1)
-
-    last = np.zeros((3, 0), np.int64)
-    for block in chain(blocks(), [None]):  # the last REACH entries wait for those that follow
-        rows = last if block is None else np.concatenate([last, block], axis=1)
-        entry, more, key = rows
-        ready = len(key) if block is None else max(0, len(key) - REACH)
-        allowed = np.full(ready, NEAR[0])
-        for crowd, bits in NEAR.items():
-            n = max(0, min(ready, len(key) - crowd))
-            allowed[:n][entry[:n] == entry[crowd : crowd + n]] = bits
-        found = [np.zeros((2, 0), np.int64)]
-        for step in range(1, REACH + 1):
-            at = np.arange(max(0, min(ready, len(key) - step)))
-            at = at[(entry[at] == entry[at + step]) & (key[at] != key[at + step])]
-            at = at[np.bitwise_count((more[at] ^ more[at + step]).view(np.uint64)) <= allowed[at]]
-            found.append(np.stack([np.minimum(key[at], key[at + step]), np.maximum(key[at], key[at + step])]))
+        for rows in chain(batches, [None]):
+            if rows is not None:
+                held.append(np.stack([np.asarray(c).astype(np.int64) for c in rows.columns]))
+                size += rows.num_rows
+                if size < ENTRIES:
+                    continue
+            whole = np.concatenate(held, axis=1) if held else np.zeros((4, 0), np.int64)
+            same = (whole[0] == whole[0, -1]) & (whole[1] == whole[1, -1]) if size else np.zeros(0, bool)
+            end = size if rows is None else int(size - np.argmin(same[::-1])) if not same.all() else 0
+            if end:  # the last bucket may go on in the next batch
+                yield whole[:, :end]
+                held, size = [whole[:, end:]], size - end
+
+    for entry, part, more, key in buckets():
+        found, bits = [np.zeros((2, 0), np.int64)], more.view(np.uint64)
+        at, step = np.arange(len(key)), 0
+        while len(at):
+            step += 1
+            at = at[at + step < len(key)]
+            at = at[(entry[at] == entry[at + step]) & (part[at] == part[at + step])]
+            apart = bits[at] ^ bits[at + step]
+            ok = (np.bitwise_count(apart) <= NEAR) & (key[at] != key[at + step])
+            mine, apart = at[ok], apart[ok]
+            group = part[mine] >> _GROUP
+            first = np.ones(len(mine), bool)
+            for g in range(GROUPS):  # in a split key a pair counts in the first group that it shares
+                first &= (g >= group) | ((apart >> np.uint64(g * _GROUP)) & np.uint64((1 << _GROUP) - 1) != 0)
+            mine = mine[first]
+            found.append(np.stack([np.minimum(key[mine], key[mine + step]), np.maximum(key[mine], key[mine + step])]))
         pairs, n = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
         if len(n):
             yield batch(_HITS, pairs[0], pairs[1], n)
-        last = rows[:, ready:]
 
 
 def matching(q: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -384,8 +405,8 @@ def _linked(pictures: DataFrame, id_column: str, media_column: str, width_column
     leads = keyed.where("key is not null").groupBy("key").agg(F.min("id").alias("id"))
     lead_media = media.join(leads, ["key", "id"], "left_semi").select("key", "picture", "width")
     corners = saved(lead_media.mapInArrow(_describe, "key long, corners binary").dropDuplicates(["key"]), "corners")
-    order = ["entry", "more", "key"]
-    tables = corners.mapInArrow(_entries, "entry long, more long, key long").repartitionByRange(*order).sortWithinPartitions(*order)
+    tables = _split(corners.mapInArrow(_entries, "entry long, more long, key long"))
+    tables = tables.repartition("entry", "part").sortWithinPartitions("entry", "part")
     hits = tables.mapInArrow(_hits, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     pairs = saved(hits.where(F.col("n") >= HITS).select("a", "b"), "candidates")
     size = corners.agg(F.sum(F.length("corners") + 16)).first()[0] or 0

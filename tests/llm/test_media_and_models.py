@@ -56,6 +56,62 @@ def test_media_copies_reach_brute_force(spark):
     assert media.copies(pictures.limit(0), "id % 20 = 0").count() == 0
 
 
+def taken(canvas, x, y, zoom, degrees, rng, noise, gain, shift):
+    """A picture of a part of a canvas: off the grid, zoomed, turned, with noise and another brightness."""
+    v, u = np.mgrid[0:64, 0:64] - 31.5
+    a = np.deg2rad(degrees)
+    px, py = x + (np.cos(a) * u - np.sin(a) * v) / zoom, y + (np.sin(a) * u + np.cos(a) * v) / zoom
+    i, j = np.clip(np.floor(py).astype(int), 0, len(canvas) - 2), np.clip(np.floor(px).astype(int), 0, len(canvas) - 2)
+    f, g = np.clip(py - i, 0, 1), np.clip(px - j, 0, 1)
+    out = (canvas[i, j] * (1 - g) + canvas[i, j + 1] * g) * (1 - f) + (canvas[i + 1, j] * (1 - g) + canvas[i + 1, j + 1] * g) * f
+    return np.clip(out * gain + shift + rng.normal(0, noise, out.shape), 0, 255).astype(np.uint8)
+
+
+def hard_copies(scenes):
+    """Three pictures a scene: as it is; moved, enlarged and tilted; moved, zoomed, turned, noisy and darker."""
+    out = []
+    for k in range(scenes):
+        rng = np.random.default_rng(1000 + k)
+        canvas = 70 + media._resized(rng.random((1, 30, 30), np.float32) * 120, 120)[0]
+        for _ in range(26):
+            y, x = rng.integers(0, 114, 2)
+            h, w = rng.integers(3, 16, 2)
+            canvas[y : y + h, x : x + w] = rng.integers(10, 240)
+        place = lambda: rng.uniform(51, 69)
+        out += [taken(canvas, 60, 60, 1, 0, rng, 0, 1, 0), taken(canvas, place(), place(), rng.uniform(1.0, 1.35), rng.uniform(-8, 8), rng, 2, 1, 0)]
+        out.append(taken(canvas, place(), place(), rng.uniform(0.8, 1.2), rng.choice([0, 90, 180, 270]) + rng.uniform(-20, 20), rng, 3, 0.9, 12))
+    return out
+
+
+def test_media_recall_is_that_of_the_pair(spark, monkeypatch):
+    """Recall against comparing all descriptors, alone and among 2,000 unrelated pictures: the same pairs are found, whatever
+    else is there, however many partitions, and whether keys are split or not."""
+    import pyarrow as pa
+
+    pictures = hard_copies(120)
+    described = media._describe(iter([pa.record_batch([pa.array(range(len(pictures)), pa.int64()), pa.array([p.tobytes() for p in pictures]), pa.array([None] * len(pictures), pa.int32())], ["key", "picture", "width"])]))
+    corners = {k: c for b in described for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    pairs = [(3 * k + i, 3 * k + j) for k in range(120) for i in range(3) for j in range(i + 1, 3)]
+    pairs = [(a, b) for a, b in pairs if a in corners and b in corners]
+    compared = media._compare(iter([pa.record_batch([pa.array(x) for x in ([a for a, _ in pairs], [b for _, b in pairs], [corners[a] for a, _ in pairs], [corners[b] for _, b in pairs])], ["a", "b", "ca", "cb"])]))
+    truth = {(min(a, b), max(a, b)) for x in compared for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())}
+    assert len(truth) > 250
+    own = spark.createDataFrame([(k, bytearray(p.tobytes())) for k, p in enumerate(pictures)], "id long, picture binary")
+    others = media.drawn(spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet").where("vec_id < 2000")).select((F.col("id") + 10_000).alias("id"), "picture")
+
+    def found(df):
+        return {tuple(sorted((r.query_id, r.match_id))) for r in media.copies(df).collect() if r.query_id < 10_000 and r.match_id < 10_000}
+
+    alone = found(own)
+    assert len(alone & truth) >= 0.9 * len(truth)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    among = found(own.unionByName(others).repartition(64))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert among == alone
+    monkeypatch.setattr(media, "CROWD", 3)
+    assert found(own) == alone
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(1)
     move, bounds = rng.normal(size=(2, 2)), np.array([0, 3, 3, 4, 9])
