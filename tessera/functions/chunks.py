@@ -1,9 +1,11 @@
-"""Sentences and chunks of texts, as columns: regular expressions cut, a fold over the sentences' token counts packs."""
+"""Sentences and chunks of texts, as columns: regular expressions cut, running sums of the sentences' token counts pack."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,32 +35,41 @@ def hard_split(c: Column, budget: int) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(rf"(?:(?:{TOKEN})\s*){{1,{budget}}}"), F.lit(0)), lambda p: F.rtrim(p))
 
 
-def fold(budget: Column, overlap: int) -> tuple:
-    """Start, step and end of a fold over sentence sizes that gives chunks as an array of (first, end): sentences are taken
-    while they fit; a chunk begins with up to ``overlap`` sentences of the one before, as many as leave room for a new one."""
-    empty = F.array().cast("array<struct<first: int, end: int>>")
-    start = F.struct(empty.alias("done"), F.lit(0).alias("first"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("used"), *[F.lit(0).cast("long").alias(f"back{k}") for k in range(1, overlap + 1)])
-
-    def take(s: Column, size: Column) -> Column:
-        size = size.cast("long")
-        fits = (s["used"] + size <= budget) | (s["at"] == s["first"])
-        first, used, total = s["at"], size, size
-        for k in range(1, overlap + 1):  # the longest tail that fits; it doesn't reach the start of the chunk before
-            total = total + s[f"back{k}"]
-            ok = (total <= budget) & (s["at"] - k > s["first"])
-            first, used = F.when(ok, s["at"] - k).otherwise(first), F.when(ok, total).otherwise(used)
-        closed = F.concat(s["done"], F.array(F.struct(s["first"].alias("first"), s["at"].alias("end"))))
-        back = [size, *[s[f"back{k}"] for k in range(1, overlap)]]
-        return F.struct(
-            F.when(fits, s["done"]).otherwise(closed).alias("done"),
-            F.when(fits, s["first"]).otherwise(first).cast("int").alias("first"),
-            (s["at"] + 1).cast("int").alias("at"),
-            F.when(fits, s["used"] + size).otherwise(used).alias("used"),
-            *[b.alias(f"back{k}") for k, b in enumerate(back[:overlap], 1)],
-        )
-
-    last = lambda s: F.when(s["at"] > s["first"], F.concat(s["done"], F.array(F.struct(s["first"].alias("first"), s["at"].alias("end"))))).otherwise(s["done"])
-    return start, take, last
+def spans(sizes: list[int], budget: int, overlap: int) -> list[tuple[int, int]]:
+    """Chunks of sentences as (first, end): sentences are taken while they fit; a chunk begins with up to ``overlap`` sentences of
+    the one before, as many as leave room for a new one, but not with its first."""
+    out, first, used = [], 0, 0
+    for at, size in enumerate(sizes):
+        if at == first or used + size <= budget:
+            used += size
+            continue
+        out.append((first, at))
+        begin, used, total = at, size, size
+        for k in range(1, overlap + 1):
+            total += sizes[at - k] if at >= k else 0
+            if total <= budget and at - k > first:
+                begin, used = at - k, total
+        first = begin
+    if len(sizes) > first:
+        out.append((first, len(sizes)))
+    return out
+
+
+CHUNKS = "array<struct<n_tokens:bigint,text:string>>"
+
+
+def packed(own: Column, sizes: Column, budget: Column, overlap: int) -> Column:
+    """The chunks of a text's sentences, with their tokens and text: running sums, one pass over the sentences of a row."""
+
+    @F.arrow_udf(CHUNKS)
+    def run(own: pa.Array, sizes: pa.Array, budgets: pa.Array) -> pa.Array:
+        rows = []
+        for parts, counts, budget in zip(own.to_pylist(), sizes.to_pylist(), budgets.to_pylist()):
+            sums = list(accumulate(counts, initial=0))
+            rows.append([{"n_tokens": sums[b] - sums[a], "text": " ".join(parts[a:b])} for a, b in spans(counts, budget, overlap)])
+        return pa.array(rows, pa.list_(pa.struct([("n_tokens", pa.int64()), ("text", pa.string())])))
+
+    return run(own, sizes, budget)
 
 
 def chunk_rows(docs: DataFrame, id_column: str, text_column: str, most: int = MAX_TOKENS, overlap: int = OVERLAP, title_column: str | None = None, sizes_of: Callable[[Column], Column] = words_and_signs) -> DataFrame:
@@ -71,13 +82,11 @@ def chunk_rows(docs: DataFrame, id_column: str, text_column: str, most: int = MA
     rows = rows.withColumn("budget", F.greatest(F.lit(LEAST_BODY if title_column else 1), F.lit(most) - F.col("head")))
     rows = rows.withColumn("sizes", sizes_of(F.col("own")))
     pieces = F.zip_with("own", "sizes", lambda s, n: F.when(n > F.col("budget"), hard_split(s, LEAST_BODY if title_column else most)).otherwise(F.array(s)))
-    rows = rows.withColumn("own", F.flatten(pieces)).withColumn("sizes", sizes_of(F.col("own")))
-    rows = rows.withColumn("spans", F.aggregate("sizes", *fold(F.col("budget"), overlap)))
-    rows = rows.select("*", F.posexplode("spans").alias("chunk", "span"))
-    part = lambda c: F.slice(c, F.col("span.first") + 1, F.col("span.end") - F.col("span.first"))
-    tokens = F.col("head") + F.aggregate(part("sizes"), F.lit(0), lambda s, n: s + n)
-    text = F.concat(F.when(F.col("title") != "", F.concat("title", F.lit("\n"))).otherwise(""), F.array_join(part("own"), " "))
-    return rows.select("id", "chunk", tokens.alias("n_tokens"), text.alias("text"))
+    rows = rows.withColumn("own", F.flatten(pieces)).withColumn("sizes", sizes_of(F.col("own")).cast("array<bigint>"))
+    rows = rows.select("id", "title", "head", packed(F.col("own"), F.col("sizes"), F.col("budget"), overlap).alias("chunks"))
+    rows = rows.select("id", "title", "head", F.posexplode("chunks").alias("chunk", "c"))
+    text = F.concat(F.when(F.col("title") != "", F.concat("title", F.lit("\n"))).otherwise(""), F.col("c.text"))
+    return rows.select("id", "chunk", (F.col("head") + F.col("c.n_tokens")).alias("n_tokens"), text.alias("text"))
 
 
 def sentence_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:

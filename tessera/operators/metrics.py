@@ -116,3 +116,24 @@ def bootstrap(scored: DataFrame, column: str, key: str = "qid", resamples: int =
     ordered = F.array_sort(F.collect_list("m"))
     at = lambda k: F.round(F.coalesce(F.get(ordered, F.lit(k)), F.lit(0.0)), 6)
     return means.agg(at(int(0.025 * resamples)).alias("low"), at(min(resamples - 1, int(0.975 * resamples))).alias("high"))
+
+
+def metric_table(ranked: DataFrame, grades: DataFrame, ks: tuple[int, ...] = (5, 10, 50), latency: str | None = None) -> DataFrame:
+    """One row: n, and recall at each of several depths over the queries with a relevant document; with the column of ``ranked``
+    that holds a query's latency, its nearest-rank median and 95th percentile over all queries."""
+    hits = grades.where("grade > 0").join(ranked.select("qid", "id", "rank"), ["qid", "id"], "left")
+    each = hits.groupBy("qid").agg(*[(F.count_if(F.col("rank") <= k) / F.count("*")).alias(f"recall_{k}") for k in ks])
+    out = each.agg(F.count("*").alias("n"), *[F.round(F.avg(f"recall_{k}"), 6).alias(f"recall_{k}") for k in ks])
+    if latency is None:
+        return out
+    times = ranked.groupBy("qid").agg(F.max(latency).alias("t")).where("t is not null")
+    place = F.row_number().over(Window.orderBy("t", "qid"))
+    ranks = times.withColumn("place", place).crossJoin(F.broadcast(times.agg(F.count("*").alias("m"))))
+    at = lambda p: F.max(F.when(F.col("place") == F.greatest(F.floor(F.col("m") * p), F.lit(1)), F.col("t")))
+    return out.crossJoin(F.broadcast(ranks.agg(at(0.5).alias("p50"), at(0.95).alias("p95"))))
+
+
+def label_histograms(rows: DataFrame, by: str, labels: list[str]) -> DataFrame:
+    """(group, field, label, n): how often each label field takes each value, for every group; nulls are a label of their own."""
+    flat = rows.select(F.col(by).cast("string").alias("group"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit("-")).alias("label")) for c in labels])).alias("x"))
+    return flat.groupBy("group", "x.field", "x.label").agg(F.count("*").alias("n"))

@@ -79,6 +79,16 @@ class Versioned:
     def remove(self, keys: DataFrame, key: str) -> None:
         self.rebuild(self.read().join(keys.select(key).distinct(), key, "left_anti"))
 
+    def synced(self, rows: DataFrame, key: str) -> None:
+        """Brings the table to a given set: new and changed rows are put in, rows whose key isn't in the set go."""
+        if not rows.groupBy(key).count().where("count > 1").isEmpty():
+            raise ValueError("a key stands twice in the set")
+        self.rebuild(rows)
+
+    def reset(self, rows: DataFrame) -> None:
+        """Drops what there is and begins again with these rows, whose columns may be of other kinds; nothing of the former rows counts."""
+        self.rebuild(rows)
+
     def missing(self, rows: DataFrame, key: str) -> DataFrame:
         """The rows whose key isn't in the table yet: what a resumed build has to do."""
         return rows if self.current() is None else rows.join(self.read().select(key).distinct(), key, "left_anti")

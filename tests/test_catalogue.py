@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tessera.plans import answers, records, searches, sections  # noqa: F401
+from tessera.plans import answers, evaluation, records, searches, sections  # noqa: F401
 from tessera.plans.catalogue import ORACLE_SQL, QUERIES
 from tests.conftest import DATA
 
