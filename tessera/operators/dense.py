@@ -54,9 +54,9 @@ def within_group(scored: DataFrame, group: str, k: int) -> DataFrame:
     return top(scored, k, ["qid", group], [F.desc("score"), F.asc("id")])
 
 
-def pool_size(n: Column, share: float = 0.05, least: int = 200, most: int = 1500) -> Column:
+def pool_size(n: int, share: float = 0.05, least: int = 200, most: int = 1500) -> int:
     """How many candidates to take of n: a share of them, within bounds."""
-    return F.least(F.greatest(F.floor(n * share), F.lit(least)), F.lit(most))
+    return min(max(int(n * share), least), most)
 
 
 def best_preferred(scored: DataFrame, by: list[str], preferred: Column) -> DataFrame:
@@ -67,9 +67,7 @@ def best_preferred(scored: DataFrame, by: list[str], preferred: Column) -> DataF
 
 def adaptive_topk(queries: DataFrame, vectors: DataFrame, share: float, least: int, most: int) -> DataFrame:
     """Nearest vectors of each query, as many as the pool size of the table allows."""
-    n = vectors.agg(F.count("*").alias("n"))
-    ranked = scores(queries, vectors).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("id"))))
-    return ranked.crossJoin(F.broadcast(n)).where(F.col("rank") <= pool_size(F.col("n"), share, least, most)).drop("n")
+    return topk(queries, vectors, pool_size(vectors.count(), share, least, most))
 
 
 def top_up(scored: DataFrame, have: DataFrame, need: int) -> DataFrame:

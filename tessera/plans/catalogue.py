@@ -540,22 +540,22 @@ def siblings_in_order(t):
     return tree.siblings(parents, nodes.select("node_id", "section")).select("parent_id", "position", "node_id", "section")
 
 
-@query("context_expand", f"{TREE_SQL}, r AS (SELECT doc % 10 AS qid, doc, node_id FROM n WHERE section = 'FACTS' AND doc % 5 = 0) SELECT r.qid, n.doc, n.node_id, n.section, n.text, n.node_id = r.node_id AS retrieved FROM r JOIN n ON n.doc = r.doc")
+@query("context_expand", f"{TREE_SQL}, r AS (SELECT doc AS qid, doc, node_id FROM n WHERE section = 'FACTS') SELECT r.qid, n.doc, n.node_id, n.section, n.text, n.node_id = r.node_id AS retrieved FROM r JOIN n ON n.doc = r.doc")
 def context_expand(t):
     _, nodes = tree.build(sections(t), LABELS)
-    asked = nodes.where("section = 'FACTS' and doc % 5 = 0").select((F.col("doc") % 10).alias("qid"), "doc", "node_id")
+    asked = nodes.where("section = 'FACTS'").select(F.col("doc").alias("qid"), "doc", "node_id")
     return tree.expand(asked, nodes)
 
 
 @query(
     "context_trim",
-    rf"""{TREE_SQL}, r AS (SELECT doc % 10 AS qid, doc, node_id FROM n WHERE section = 'FACTS' AND doc % 5 = 0), x AS (SELECT r.qid, n.doc, n.section, n.position, n.node_id, n.text, n.node_id = r.node_id AS retrieved, len(regexp_extract_all(n.text, '[^\s]+')) AS cost FROM r JOIN n ON n.doc = r.doc WHERE length(n.text) > 0),
+    rf"""{TREE_SQL}, r AS (SELECT doc AS qid, doc, node_id FROM n WHERE section = 'FACTS'), x AS (SELECT r.qid, n.doc, n.section, n.position, n.node_id, n.text, n.node_id = r.node_id AS retrieved, len(regexp_extract_all(n.text, '[^\s]+')) AS cost FROM r JOIN n ON n.doc = r.doc WHERE length(n.text) > 0),
 u AS (SELECT *, sum(cost) OVER (PARTITION BY qid, doc ORDER BY retrieved DESC, position, node_id ROWS UNBOUNDED PRECEDING) AS used FROM x)
 SELECT qid, doc, string_agg('## ' || section || chr(10) || text, chr(10) || chr(10) ORDER BY position) AS context, sum(cost)::BIGINT AS n_tokens FROM u WHERE used <= 400 GROUP BY 1, 2""",
 )
 def context_trim(t):
     _, nodes = tree.build(sections(t), LABELS)
-    asked = nodes.where("section = 'FACTS' and doc % 5 = 0").select((F.col("doc") % 10).alias("qid"), "doc", "node_id")
+    asked = nodes.where("section = 'FACTS'").select(F.col("doc").alias("qid"), "doc", "node_id")
     return tree.assemble(tree.expand(asked, nodes), LABELS, 400)
 
 
@@ -648,9 +648,9 @@ def metric_summary(t):
     return metrics.summary(query_scores(t))
 
 
-@query("findability", f"{METRICS_SQL}, fa AS (SELECT qid % 4 AS target, sum(p3) AS hits, count(*) AS n FROM sc GROUP BY 1) SELECT count(*) AS targets, count(*) FILTER (hits >= 1) AS one, count(*) FILTER (hits >= 2) AS two, count(*) FILTER (2 * hits > n) AS most, count(*) FILTER (hits = n) AS every FROM fa")
+@query("findability", f"{METRICS_SQL}, fa AS (SELECT qid // 4 AS target, sum(p3) AS hits, count(*) AS n FROM sc GROUP BY 1) SELECT count(*) AS targets, count(*) FILTER (hits >= 1) AS one, count(*) FILTER (hits >= 2) AS two, count(*) FILTER (2 * hits > n) AS most, count(*) FILTER (hits = n) AS every FROM fa")
 def findability(t):
-    rows = query_scores(t).select((F.col("qid") % 4).alias("target"), F.col("p3").alias("p1"))
+    rows = query_scores(t).select(F.expr("qid div 4").alias("target"), F.col("p3").alias("p1"))
     return metrics.findability(rows, "target")
 
 

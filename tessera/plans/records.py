@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import parse, text
+from tessera.operators.fields import stored
 from tessera.operators.postings import PostingIndex
 from tessera.plans.catalogue import BM25_SQL, FUSED_SQL, GRADES_SQL, ITEM_DENSE_SQL, LISTS_SQL, OUTCOME, POSITIONS, WORDS, candidate_lists, fused_rows, grades, query, terms_of
 from tessera.sources.store import shared_dir
@@ -111,9 +112,9 @@ def missing_slugs(t):
 
 @query("index_counts", f"WITH w AS (SELECT doc_id AS id, unnest({WORDS}) AS term FROM documents) SELECT count(*) AS postings, count(DISTINCT id) AS documents FROM (SELECT DISTINCT id, term FROM w)")
 def index_counts(t):
-    """Rows of the keyword index and documents in it."""
-    rows = t("documents").select("doc_id", F.size(F.array_distinct(text.tokens(F.col("text")))).alias("n")).where("n > 0").groupBy("doc_id").agg(F.sum("n").alias("n"))
-    return rows.agg(F.sum("n").alias("postings"), F.count("*").alias("documents"))
+    """Rows of the stored keyword index and documents with words in it."""
+    index = stored(t("documents"), "doc_id", ["text"])
+    return index.counts().select("postings").crossJoin(index.documents().where("dl > 0").agg(F.count("*").alias("documents")))
 
 
 LIVE = "live AS (SELECT doc_id, CASE WHEN lang = 'de' THEN concat('amended ', text) ELSE text END AS text FROM documents WHERE lang IS DISTINCT FROM 'fr')"

@@ -86,7 +86,7 @@ def test_supreme_outcome(said, outcome):
 
 
 def test_query_analysis(spark):
-    long = "my brother was removed from service and the tribunal reinstated him but the department went to the Supreme Court in Quetta and Lahore and there the Supreme Court upheld the removal"
+    long = "my brother was removed from service and the tribunal reinstated him. The department went to the Supreme Court in Quetta and Lahore. After a hearing there the Supreme Court upheld the removal with costs"
     asked = {1: "Gul Khan vs. State of X", 2: "C.A. 5-Q/2014", 3: "bail in Karachi 2015 under Family Courts Act, 1964", 4: long, 5: None, 6: "appeal dismissed 1890 2035 1999"}
     got = {r.id: r for r in metadata.query_analysis(spark.createDataFrame([*asked.items()], "id long, text string"), "id", "text").collect()}
     assert got[1].parties == ["Gul Khan", "State of X"] and got[1].type == "entity"
