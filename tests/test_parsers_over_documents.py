@@ -2,6 +2,7 @@
 
 import pytest
 
+from tessera.plans import sections  # noqa: F401
 from tessera.plans.catalogue import QUERIES
 
 TAIL = "x " * 3000 + "\nPLD 2010 Supreme Court 5. Section 302 PPC. Civil Appeal No. 12 of 2019. We saw khulla.\n"
