@@ -33,7 +33,7 @@ from tessera.functions import stem as stems
 from tessera.functions.text import tokens
 from tessera.operators import lexical
 from tessera.operators.lexical import K1, B
-from tessera.sources.store import Versioned, shared_dir
+from tessera.sources.store import Versioned, kept, shared_dir
 
 BUCKETS = 64
 #: Rows of a table about asked stems or units that may be broadcast.
@@ -113,9 +113,11 @@ def group_counts(weights: list[float], distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             index, part, tf = [], [], []
-            for k in range(rows.num_rows):
-                places = [np.array(p, np.int64) for p in rows.column("places")[k].as_py()]
-                for j, hits in enumerate(group_hits(rows.column("kind")[k].as_py(), places, distance)):
+            words = rows.column("places").values
+            of_row, of_word, flat = (np.asarray(x) for x in (rows.column("places").offsets, words.offsets, words.values))
+            for k, kind in enumerate(rows.column("kind").to_pylist()):
+                places = [flat[of_word[j] : of_word[j + 1]] for j in range(of_row[k], of_row[k + 1])]
+                for j, hits in enumerate(group_hits(kind, places, distance)):
                     if len(hits):
                         index.append(k)
                         part.append(j)
@@ -247,6 +249,7 @@ class FieldIndex:
         """((unit, part, id, dl, tf), (unit, part, df)) of the distinct units (unit, kind, parts)."""
         known = self.dictionary()
         parts = units.select("unit", "kind", F.size("parts").alias("n"), F.posexplode("parts").alias("part", "stem")).join(known, "stem")
+        parts = kept(parts, "units")  # small, and read for every step that follows
         single = parts.where("n = 1").select("unit", "part", "stem")
         if len(set(weights)) == 1:
             tf = F.size("positions") * F.lit(float(weights[0]))
@@ -261,15 +264,16 @@ class FieldIndex:
             # the rarest word of a group leads: its rows are brought to the rows of the others by (stem, id)
             whole = groups.groupBy("unit", "kind", "n").agg(F.collect_list(F.struct("part", "stem")).alias("words"), F.min(F.struct("df", "part")).getField("part").alias("lead")).where(F.size("words") == F.col("n"))
             lead = _near(whole.select("unit", "kind", "n", "lead", "words", F.filter("words", lambda w: w["part"] == F.col("lead"))[0]["stem"].alias("stem")))
-            led = rows.join(lead, "stem").select("unit", "kind", "n", "id", "dl", "lead", F.col("positions").alias("own"), "words")
+            of_groups = rows.join(_near(groups.select("stem").distinct()), "stem", "left_semi")
+            led = of_groups.join(lead, "stem").select("unit", "kind", "n", "id", "dl", "lead", F.col("positions").alias("own"), "words")
             others = led.select("unit", "kind", "n", "id", F.explode(F.filter("words", lambda w: w["part"] != F.col("lead"))).alias("w")).select("unit", "kind", "n", "id", "w.*")
-            met = others.join(rows.select("stem", "id", "positions"), ["stem", "id"]).select("unit", "kind", "n", "id", "part", "positions")
+            met = others.join(of_groups.select("stem", "id", "positions"), ["stem", "id"]).select("unit", "kind", "n", "id", "part", "positions")
             mine = led.select("unit", "kind", "n", "id", F.col("lead").alias("part"), F.col("own").alias("positions"), "dl")
             both = met.withColumn("dl", F.lit(None).cast("long")).unionByName(mine)
             places = both.groupBy("unit", "kind", "n", "id").agg(F.max("dl").alias("dl"), F.array_sort(F.collect_list(F.struct("part", "positions"))).alias("places")).where(F.size("places") == F.col("n"))
             found = places.select("unit", "kind", "id", "dl", F.col("places.positions").alias("places"))
             kind = found.schema["id"].dataType.simpleString()
-            found = found.mapInArrow(group_counts(weights, distance), f"unit string, part int, id {kind}, dl long, tf double")
+            found = kept(found.mapInArrow(group_counts(weights, distance), f"unit string, part int, id {kind}, dl long, tf double"), "group-hits")
             hits = hits.unionByName(found)
             df = df.unionByName(found.join(F.broadcast(groups.where("kind = 'phrase'").select("unit").distinct()), "unit", "left_semi").groupBy("unit", "part").agg(F.count("*").alias("df")))
         return hits, df
@@ -286,14 +290,14 @@ class FieldIndex:
             raise ValueError("one weight a field")
         n, words = self.figures()
         named = expressions.select("qid", "parts", F.when(F.size("parts") == 1, "term").otherwise(F.col("kind")).alias("kind"))
-        named = named.withColumn("unit", F.concat_ws(" ", "kind", F.array_join("parts", " ")))
+        named = kept(named.withColumn("unit", F.concat_ws(" ", "kind", F.array_join("parts", " "))), "asked")
         hits, df = self.unit_counts(named.select("unit", "kind", "parts").distinct(), weights, distance)
         raw = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         idf = df.select("unit", "part", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"))
         average = words / n if n else 1.0
         gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(average or 1.0)))
         gains = hits.join(idf, ["unit", "part"]).select("unit", "id", gain.alias("gain"))
-        scored = gains.join(named.select("qid", "unit"), "unit").groupBy("qid", "id").agg(F.round(F.sum("gain"), 6).alias("score"))
+        scored = gains.join(_near(named.select("qid", "unit")), "unit").groupBy("qid", "id").agg(F.round(F.sum("gain"), 6).alias("score"))
         return lexical.top(scored, k, ["qid"], [F.desc("score"), F.asc("id")])
 
 
