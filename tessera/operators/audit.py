@@ -34,8 +34,8 @@ def orphans(docs: DataFrame, stores: dict[str, DataFrame]) -> DataFrame:
 
 def triage(files: DataFrame, known: DataFrame) -> DataFrame:
     """(id, hash, category): new, duplicate (a file of the same content came first), known, or invalid."""
-    first = F.first_value("id").over(Window.partitionBy("hash").orderBy("id"))
-    rows = files.join(known.select("hash").distinct().withColumn("known", F.lit(True)), "hash", "left").withColumn("first", first)
+    first = files.groupBy(F.col("hash").alias("same")).agg(F.min("id").alias("first"))
+    rows = files.join(known.select("hash").distinct().withColumn("known", F.lit(True)), "hash", "left").join(first, F.col("hash").eqNullSafe(F.col("same")))
     chosen = F.when(~F.col("valid"), "invalid").when(F.col("known"), "known").when(F.col("first") != F.col("id"), "duplicate").otherwise("new")
     return rows.select("id", "hash", chosen.alias("category"))
 
@@ -84,8 +84,9 @@ def keep_newest(df: DataFrame, by: str, n: int, order: list, exempt: Column) ->
 
 
 def dedupe_first(df: DataFrame, norm: Column, order: list) -> DataFrame:
-    """One row for each normalised text: the first in order."""
-    return df.withColumn("norm", norm).withColumn("rn", F.row_number().over(Window.partitionBy("norm").orderBy(*order))).where("rn = 1").drop("rn", "norm")
+    """One row for each normalised text: the first in (ascending) order. Copies of a text are aggregated before they are shuffled."""
+    first = F.min_by(F.struct(*df.columns), F.struct(*order)).alias("row")
+    return df.groupBy(norm.alias("norm")).agg(first).select("row.*")
 
 
 def quotas(sizes: DataFrame, n: int) -> DataFrame:

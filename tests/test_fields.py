@@ -137,6 +137,21 @@ def test_index_against_fts5(spark, stemmed):
     holds()
 
 
+def test_stemmed_search_of_texts_equals_the_index(spark):
+    from tessera.operators import lexical
+
+    rng = random.Random(12)
+    rows = [(k, make(rng, rng.randint(0, 30))) for k in range(50)] + [(50, None), (51, "")]
+    docs = spark.createDataFrame(rows, "id long, body string")
+    asked = spark.createDataFrame([(1, "runs"), (1, "dog"), (2, "Élan"), (2, "appealing"), (3, "allotments"), (3, "zebra")], "qid long, term string")
+    index = FieldIndex(spark, shared_dir(spark, "stems"), ["body"], True)
+    index.upsert(docs, "id")
+    units = index.stems_of(asked.select("qid", F.lit("term").alias("kind"), F.array(F.lower("term")).alias("parts")))
+    want = {(r.qid, r.id, r["rank"], round(r.score, 5)) for r in index.search(units, 8).collect()}
+    got = {(r.qid, r.id, r["rank"], round(r.score, 5)) for r in lexical.stemmed_topk(docs, "id", "body", asked, 8).collect()}
+    assert got == want and len(got) > 16
+
+
 def test_failed_write_leaves_the_table(spark, monkeypatch):
     t = Versioned(spark, shared_dir(spark, "versions"))
     assert t.current() is None
