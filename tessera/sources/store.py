@@ -107,10 +107,10 @@ def read_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def json_lines(df: DataFrame) -> DataFrame:
-    """(line, digest): rows as JSON with their fields in the order of their names."""
+def json_lines(df: DataFrame, *beside: str) -> DataFrame:
+    """(line, digest): rows as JSON with their fields in the order of their names; ``beside``: columns that stay beside the line."""
     line = F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]))
-    return df.select(line.alias("line")).withColumn("digest", F.sha2("line", 256))
+    return df.select(*beside, line.alias("line")).withColumn("digest", F.sha2("line", 256))
 
 
 def dump(tables: dict[str, DataFrame], path: str) -> DataFrame:
