@@ -206,14 +206,14 @@ def registry_of(refs: Column, text: Column) -> Column:
 
 def query_analysis(queries: DataFrame, id_column: str, text_column: str, first_year: int = 1947, last_year: int = 2026) -> DataFrame:
     """(id, case_refs, statutes, citations, parties, years, registry, outcome, narrative, type) of every query: the years without those
-    of acts, the parties of "X v. Y", for descriptions the highest court's outcome."""
+    of acts and without numbers of cases, the parties of "X v. Y", for descriptions the highest court's outcome."""
     c = F.col("text")
     rows = queries.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    rows = rows.select("id", "text", parse.case_refs_of(c).alias("case_refs"), parse.statutes_of(c).alias("statutes"), supreme_outcome_of(c).alias("supreme"))
+    rows = rows.select("id", "text", parse.case_refs_of(c).alias("case_refs"), parse.statutes_of(c).alias("statutes"), parse.without_case_numbers_of(c).alias("unnumbered"), supreme_outcome_of(c).alias("supreme"))
     versus = r"(?is)^\s*(.+?)\s+(?:v|vs|versus)\.?\s+(.+?)\s*$"
     parties = F.when(c.rlike(versus), F.transform(F.array(F.regexp_extract(c, versus, 1), F.regexp_extract(c, versus, 2)), lambda p: F.trim(p, F.lit(" .,")))).otherwise(F.array().cast("array<string>"))
     acts = F.flatten(F.transform("statutes", lambda s: F.regexp_extract_all(s, F.lit("(?:19|20)[0-9]{2}$"), F.lit(0))))
-    years = F.array_distinct(F.filter(F.transform(F.array_except(F.regexp_extract_all(c, F.lit(r"(?:^|[^0-9])((?:19|20)[0-9]{2})(?=$|[^0-9])"), F.lit(1)), acts), lambda y: y.cast("int")), lambda y: y.between(first_year, last_year)))
+    years = F.array_distinct(F.filter(F.transform(F.array_except(F.regexp_extract_all("unnumbered", F.lit(r"(?:^|[^0-9])((?:19|20)[0-9]{2})(?=$|[^0-9])"), F.lit(1)), acts), lambda y: y.cast("int")), lambda y: y.between(first_year, last_year)))
     narrative = F.regexp_count(c, F.lit(r"\S+")) >= parse.NARRATIVE_WORDS
     worded = parse.outcome_of(c)
     outcome = F.when(narrative, F.col("supreme")).otherwise(F.when(worded != "unknown", worded))

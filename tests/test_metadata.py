@@ -97,6 +97,12 @@ def test_query_analysis(spark):
     assert got[6].outcome == "dismissed" and got[6].years == [1999]
 
 
+def test_numbers_of_cases_are_no_years(spark):
+    asked = {1: "C.A. 1947-L/2014 and in 2011", 2: "C.A. 2013-L/2014 in 2013", 3: "Civil Appeals Nos. 1999, 2001 to 2003 of 2014", 4: "C.A. 2014-L/2014", 5: "in 1999, 2001", 6: "it was 1950 - 1960", 7: None}
+    got = {r.id: r.years for r in metadata.query_analysis(spark.createDataFrame([*asked.items()], "id long, text string"), "id", "text").collect()}
+    assert got == {1: [2014, 2011], 2: [2014, 2013], 3: [2014], 4: [2014], 5: [1999, 2001], 6: [1950, 1960], 7: []}
+
+
 def test_registry_needs_one_city(spark):
     df = spark.createDataFrame([(1, "Lahore and lahore"), (2, "Lahore, Quetta"), (3, "Islamabad")], "id long, t string").withColumn("refs", F.expr(f"cast(array() as array<{parse.CASE_REF}>)"))
     assert [r.x for r in df.orderBy("id").select(metadata.registry_of(F.col("refs"), F.col("t")).alias("x")).collect()] == ["L", None, None]
