@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import expressions as ex
-from tessera.operators.fields import FieldIndex, group_hits
+from tessera.operators.fields import FieldIndex, group_hits, scores
 from tessera.sources.store import Versioned, shared_dir
 
 
@@ -168,3 +168,27 @@ def test_failed_write_leaves_the_table(spark, monkeypatch):
     for k in range(12):
         t.upsert(spark.createDataFrame([(100 + k,)], "id long"), "id")
     assert t.read().count() == 15
+
+
+def test_queries_that_share_frequent_units_are_not_paired_with_every_document(spark):
+    """200 queries ask one of two sets of frequent units and rare ones of their own: the k best are those of brute force, from few rows."""
+    rng = random.Random(21)
+    n, k, common = 400, 3, ["a", "b", "c"]
+    gains = {(u, i): 0.25 * rng.randint(1, 4) for u in common for i in range(n) if rng.random() < 0.6}
+    gains |= {(f"own{q}", rng.randrange(n)): 0.5 * rng.randint(1, 5) for q in range(200) for _ in range(3)}
+    asked = {q: {"a", "b" if q % 2 else "c", f"own{q}"} for q in range(200)} | {200: {"own7"}, 201: {"none"}}
+    df = {u: sum(1 for w, _ in gains if w == u) for u, _ in gains}
+    frame = spark.createDataFrame([(u, i, g) for (u, i), g in gains.items()], "unit string, id long, gain double")
+    named = spark.createDataFrame([(q, u) for q, units in asked.items() for u in sorted(units)], "qid long, unit string")
+    got = scores(frame, named, spark.createDataFrame([*df.items()], "unit string, df long"), n, k, pairs=1000).collect()
+    found, want = {}, {}
+    for r in got:
+        found.setdefault(r.qid, []).append((-round(r.score, 6), r.id))
+    for q, units in asked.items():
+        sums = {}
+        for (u, i), g in gains.items():
+            if u in units:
+                sums[i] = sums.get(i, 0.0) + g
+        want[q] = sorted((-round(s, 6), i) for i, s in sums.items())[:k]
+    assert {q: sorted(found.get(q, []))[:k] for q in asked} == want
+    assert len(got) <= 200 * (k + 3) + 3
