@@ -66,10 +66,12 @@ def outcome_vote(fused: DataFrame, same: Column, k: int = RRF_K, share: float =
 
 def select_evidence(passages: DataFrame, most: int, preferred: Column) -> DataFrame:
     """(.., slot): for each query and document up to ``most`` passages: one of each node first, by score, then
-    repeats; where none of a full hand is preferred, its last gives way to the best preferred one left."""
+    repeats; where none of a full hand is preferred, its last gives way to the best preferred one left. Passages may bring
+    ``repeat``, whether their node has a better one."""
     node = Window.partitionBy("qid", "doc", "node").orderBy(F.desc("score"), F.asc("id"))
     doc = Window.partitionBy("qid", "doc")
-    rows = passages.withColumn("repeat", F.row_number().over(node) > 1).withColumn("liked", preferred)
+    rows = passages if "repeat" in passages.columns else passages.withColumn("repeat", F.row_number().over(node) > 1)
+    rows = rows.withColumn("liked", preferred)
     rows = rows.withColumn("at", F.row_number().over(doc.orderBy("repeat", F.desc("score"), F.asc("id"))))
     rows = rows.withColumn("has", F.max(F.when(F.col("at") <= most, F.col("liked"))).over(doc))
     rows = rows.withColumn("best_liked", F.min(F.when(F.col("liked") & (F.col("at") > most), F.col("at"))).over(doc))
