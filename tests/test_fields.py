@@ -192,3 +192,20 @@ def test_queries_that_share_frequent_units_are_not_paired_with_every_document(sp
         want[q] = sorted((-round(s, 6), i) for i, s in sums.items())[:k]
     assert {q: sorted(found.get(q, []))[:k] for q in asked} == want
     assert len(got) <= 200 * (k + 3) + 3
+
+
+def test_documents_are_inverted_in_bounded_slices(monkeypatch):
+    import pyarrow as pa
+
+    from tessera.operators import fields
+
+    rng = random.Random(4)
+    lists = [[[rng.choice("abc") for _ in range(rng.choice([0, 1, 3, 7, 40]))] for _ in range(50)] for _ in range(2)]
+    batch = pa.record_batch([pa.array(range(50)), *[pa.array(x, pa.list_(pa.string())) for x in lists]], ["id", "f0", "f1"])
+    rows = lambda: [list(fields.inverted(2, False)(iter([b]))) for b in (batch, batch.slice(7, 20))]
+    canonical = lambda found: [[(r["id"], r["dl"], sorted((p["stem"], p["positions"]) for p in r["postings"])) for b in part for r in b.to_pylist()] for part in found]
+    whole = canonical(rows())
+    monkeypatch.setattr(fields, "WORDS", 30)
+    cut = rows()
+    assert canonical(cut) == whole
+    assert all(b.num_rows == 1 or sum(b.column("dl").to_pylist()) <= 30 for part in cut for b in part) and len(cut[0]) > 5
