@@ -7,6 +7,7 @@ import pytest
 
 from tessera.plans import answers, evaluation, records, searches, sections  # noqa: F401
 from tessera.plans.catalogue import ORACLE_SQL, QUERIES
+from tessera.sources.store import table
 from tests.conftest import DATA
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -46,3 +47,11 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_pages_read_lists_that_were_searched_once(spark):
+    """What pages are cut from stands in the shared store; neither texts, vectors nor the index are read again for it."""
+    of = lambda name: table(spark, SF, name)
+    for df in (QUERIES["page_slice"](spark, SF), searches.paged_rows(of)):
+        files = df.inputFiles()
+        assert files and all("/fused-" in f for f in files)
