@@ -7,7 +7,8 @@ failed write left behind is never read. Of several batches with the same id the
 living rows as one batch. One writer at a time.
 
 A search reads the buckets of the asked terms alone. Posting rows meet only the ids that later batches touched, not the
-table of all documents; a compacted index needs no such join. Frequent words fill large buckets, which the rebalancing
+table of all documents; a compacted index needs no such join. Words are grouped within the rows of an Arrow batch, so building
+shuffles them but to sort them into buckets. Frequent words fill large buckets, which the rebalancing
 before the write splits over tasks and files.
 
 Null ids are left out, null and empty texts are documents without words, an id twice in a batch is an error.
@@ -21,8 +22,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import TOKEN
+from tessera.functions.text import TOKEN, tokens
 from tessera.operators import lexical
+from tessera.operators.fields import FIELDS as LISTS
+from tessera.operators.fields import inverted
 from tessera.sources.store import Versioned
 
 #: Folders of a batch; at most so many values come to the driver when a search names its buckets.
@@ -80,7 +83,11 @@ class PostingIndex:
         if not docs.groupBy(id_column).count().where("count > 1").isEmpty():
             raise ValueError("an id stands twice in a batch")
         length = F.regexp_count(F.coalesce(text_column, F.lit("")), F.lit(TOKEN))
-        batch = self._write(lexical.postings(docs, id_column, F.col(text_column)), docs.select(F.col(id_column).alias("id"), length.alias("dl")))
+        words = docs.select(F.col(id_column).alias("id"), tokens(F.col(text_column)).alias("words"))
+        lists = words.mapInArrow(inverted(1, False), f"id {words.schema['id'].dataType.simpleString()}, {LISTS['documents']}")
+        rows = lists.select("id", F.explode("postings").alias("p"), F.col("dl").cast("int").alias("dl"))
+        rows = rows.select("id", F.col("p.stem").alias("term"), F.col("p.positions").cast("array<int>").alias("positions"), "dl")
+        batch = self._write(rows, docs.select(F.col(id_column).alias("id"), length.alias("dl")))
         self._add(batch)
 
     def remove(self, ids: DataFrame, id_column: str) -> None:

@@ -66,3 +66,14 @@ def test_index_through_changes(spark):
     with pytest.raises(ValueError):
         index.upsert(spark.createDataFrame([(1, "a"), (1, "b")], DOC), "id", "text")
     assert {r.term for r in index.key_terms(terms, 0.3).collect()} == {t for t in {"law", "of", "brave", "none", "free"} if 0 < sum(t in words(x) for x in live.values()) <= 0.3 * len(live)}
+
+
+def test_words_are_grouped_without_a_shuffle(spark, monkeypatch):
+    """What is written sorts rows into buckets and does nothing else between tasks."""
+    plans, write = [], PostingIndex._write
+    monkeypatch.setattr(PostingIndex, "_write", lambda self, rows, docs: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or write(self, rows, docs))
+    index = PostingIndex(spark, shared_dir(spark, "unshuffled"))
+    index.upsert(spark.createDataFrame([(1, "b a b"), (2, None), (3, "a")], "id long, text string"), "id", "text")
+    assert "Exchange" not in plans[0]
+    rows = {(r.id, r.term, tuple(r.positions), r.dl) for r in index.rows(spark.createDataFrame([("a",), ("b",)], "term string")).collect()}
+    assert rows == {(1, "b", (0, 2), 3), (1, "a", (1,), 3), (3, "a", (0,), 1)}
