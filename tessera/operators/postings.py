@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import TOKEN, tokens
 from tessera.operators import lexical
 from tessera.operators.fields import FIELDS as LISTS
-from tessera.operators.fields import inverted
+from tessera.operators.fields import inverted, small_batches
 from tessera.sources.store import Versioned
 
 #: Folders of a batch; at most so many values come to the driver when a search names its buckets.
@@ -87,7 +87,8 @@ class PostingIndex:
         lists = words.mapInArrow(inverted(1, False), f"id {words.schema['id'].dataType.simpleString()}, {LISTS['documents']}")
         rows = lists.select("id", F.explode("postings").alias("p"), F.col("dl").cast("int").alias("dl"))
         rows = rows.select("id", F.col("p.stem").alias("term"), F.col("p.positions").cast("array<int>").alias("positions"), "dl")
-        batch = self._write(rows, docs.select(F.col(id_column).alias("id"), length.alias("dl")))
+        with small_batches(self.spark):
+            batch = self._write(rows, docs.select(F.col(id_column).alias("id"), length.alias("dl")))
         self._add(batch)
 
     def remove(self, ids: DataFrame, id_column: str) -> None:

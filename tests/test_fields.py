@@ -209,3 +209,32 @@ def test_documents_are_inverted_in_bounded_slices(monkeypatch):
     cut = rows()
     assert canonical(cut) == whole
     assert all(b.num_rows == 1 or sum(b.column("dl").to_pylist()) <= 30 for part in cut for b in part) and len(cut[0]) > 5
+
+
+def test_few_documents_cross_to_python_at_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tessera.operators import fields, postings
+    from tessera.operators.postings import PostingIndex
+
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def rows_of_batch(*_):
+        def run(batches):
+            for b in batches:
+                posting = pa.array([[{"stem": "a", "positions": [b.num_rows]}]] * b.num_rows, pa.list_(pa.struct([("stem", pa.string()), ("positions", pa.list_(pa.int64()))])))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b.num_rows] * b.num_rows, pa.int64()), posting], ["id", "dl", "postings"])
+
+        return run
+
+    docs = spark.range(0, 3 * fields.BATCH_ROWS, 1, 1).selectExpr("id", "'a' as text")
+    before = spark.conf.get(setting)
+    monkeypatch.setattr(fields, "inverted", rows_of_batch)
+    monkeypatch.setattr(postings, "inverted", rows_of_batch)
+    index = FieldIndex(spark, shared_dir(spark, "test-batches"), ["text"], stemmed=False)
+    index.upsert(docs, "id")
+    assert {r["dl"] for r in index.documents().select("dl").distinct().collect()} == {fields.BATCH_ROWS}
+    other = PostingIndex(spark, shared_dir(spark, "test-batches-postings"))
+    other.upsert(docs, "id", "text")
+    assert {r["positions"][0] for r in other._read("postings").collect()} == {fields.BATCH_ROWS}
+    assert spark.conf.get(setting) == before
