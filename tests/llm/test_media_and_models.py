@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pytest
@@ -250,6 +251,35 @@ def test_media_copies_are_those_of_all_distances(spark):
     assert {(r.query_id, r.match_id): r.inliers for r in media.copies(df, "id % 5 = 0").collect()} == {k: n for k, n in got.items() if k[0] % 5 == 0}
 
 
+def test_media_hits_travel_as_short_lists():
+    """The pairs with HITS hits come out of the lists of two slabs as they went in, from at most three bytes a hit."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    number = lambda n: rng.integers(0, 3, n) << media.PLACE | rng.integers(0, 40, n)
+    entry, key = np.sort(rng.integers(0, 300, 6000)), number(6000)
+    more = np.bitwise_or.reduce(1 << rng.integers(0, 56, (6, 6000)), axis=0)
+    rows = pa.record_batch([pa.array(entry), pa.array(np.full(6000, -1, np.int32)), pa.array(more), pa.array(key)], ["entry", "part", "more", "picture"])
+    want: Counter = Counter()
+    for e in range(300):
+        at = np.flatnonzero(entry == e).tolist()
+        for k, i in enumerate(at):
+            for j in at[k + 1 :]:
+                if key[i] != key[j] and int(more[i] ^ more[j]).bit_count() <= media.NEAR:
+                    want[min(key[i], key[j]), max(key[i], key[j])] += 1
+    lists: dict = {}
+    for b in chain(media._hits(iter([rows.slice(0, 2000), rows.slice(2000)])), media.packed(*np.array([(7, 8), (7, 8), (1, 9)]).T)):
+        for x, y, raw in zip(*b.to_pydict().values(), strict=True):
+            lists.setdefault((x, y), []).append(raw)
+    want.update({(7, 8): 2, (1, 9): 1})
+    assert sum(len(r) for raws in lists.values() for r in raws) <= 3 * want.total() and len(lists) == 6
+    got = {(x << media.PLACE | a, y << media.PLACE | b) for (x, y), raws in lists.items() for a, b in zip(*(v.tolist() for v in media.unpacked(raws)), strict=True)}
+    assert got == {k for k, n in want.items() if n >= media.HITS} and 0 < len(got) < len(want)
+    assert not list(media.packed(*np.zeros((2, 0), np.int64)))
+
+
 def test_media_query_has_every_picture(spark, tmp_path):
     from tessera.llm.queries import op3_media_copies
 
