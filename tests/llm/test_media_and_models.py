@@ -280,6 +280,41 @@ def test_media_hits_travel_as_short_lists():
     assert not list(media.packed(*np.zeros((2, 0), np.int64)))
 
 
+def test_media_tables_meet_block_by_block():
+    """The hits within a block and between two are those of plain loops, whether keys are split or not."""
+    from collections import Counter
+
+    rng = np.random.default_rng(4)
+
+    def table(n, first):
+        more = np.bitwise_or.reduce(1 << rng.integers(0, 56, (5, n)), axis=0)
+        return media._sorted(rng.integers(0, 200, n) << media._PART, more, (first + rng.integers(0, 5000, n) // 100 * 100).astype(np.int32))
+
+    def loops(one, other=None):
+        rows = [list(zip(*(x.tolist() for x in t), strict=True)) for t in (one, other or one)]
+        return Counter((min(p, q), max(p, q)) for i, (e, m, p) in enumerate(rows[0]) for f, n, q in rows[1][0 if other else i + 1 :] if e == f and p != q and (m ^ n).bit_count() <= media.NEAR)
+
+    one, other = table(1500, 0), table(900, media.OTHER)
+    for crowd in (100, 8, 1):
+        held = media.split(one, media.crowded(one, crowd))
+        assert (len(held[0]) > len(one[0])) == (crowd < 100)
+        for hits, want in ((media._within(held), loops(one)), (media._between(held, other), loops(one, other))):
+            got = set(zip(*(x.tolist() for x in media.candidates(hits)), strict=True))
+            assert got == {k for k, n in want.items() if n >= media.HITS}
+            assert 0 < len(got) < len(want)
+
+
+def test_media_shuffles_pictures_alone(spark, monkeypatch):
+    """What is shuffled are corners, about a KB a picture: no entries (12 KB a picture), no hits. Blocks don't matter."""
+    pictures = media.drawn(spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet").where("vec_id < 1000"))
+    shuffled = lambda: sum(x.totalShuffleWrite() for x in (lambda s: [s.apply(k) for k in range(s.size())])(spark._jsc.sc().statusStore().executorList(True)))
+    before = shuffled()
+    whole = sorted(media.joined(pictures).collect())
+    assert shuffled() - before < 5_000 * 1000
+    monkeypatch.setattr(media, "BLOCK", 90)
+    assert sorted(media.joined(pictures).collect()) == whole
+
+
 def test_media_query_has_every_picture(spark, tmp_path):
     from tessera.llm.queries import op3_media_copies
 
