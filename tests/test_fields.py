@@ -194,6 +194,31 @@ def test_queries_that_share_frequent_units_are_not_paired_with_every_document(sp
     assert len(got) <= 200 * (k + 3) + 3
 
 
+def test_index_and_search_shuffle_no_postings_and_no_pairs(spark, monkeypatch):
+    """An index is built without a shuffle of its postings; queries without common sets meet documents in the documents' tasks."""
+    from tessera.operators import fields
+    from tessera.sources.store import kept
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("xyz") for _ in range(200)) for _ in range(400)]
+    docs = spark.createDataFrame([*enumerate(texts)], "id long, text string").repartition(4)
+    shuffled = lambda: sum(x.totalShuffleWrite() for x in (lambda s: [s.apply(k) for k in range(s.size())])(spark._jsc.sc().statusStore().executorList(True)))
+    index = FieldIndex(spark, shared_dir(spark, "unshuffled"), ["text"], stemmed=False)
+    docs = kept(docs, "docs")
+    before = shuffled()
+    index.upsert(docs, "id")
+    assert shuffled() - before < 400 * 100  # ids and stems with their counts, where postings take over 1,000 bytes a document
+    asked = spark.createDataFrame([(q, "term", [w]) for q in range(300) for w in {rng.choice(texts[q].split()) for _ in range(6)}], "qid long, kind string, parts array<string>")
+    whole = sorted(tuple(r) for r in index.search(asked, 5).collect())
+    assert len(whole) == 1500
+    monkeypatch.setattr(fields, "PAIRS", 20_000)
+    paired = fields.scores
+    monkeypatch.setattr(fields, "scores", lambda *rows: paired(*rows, pairs=1000))
+    before = shuffled()
+    assert sorted(tuple(r) for r in index.search(asked, 5).collect()) == whole
+    assert shuffled() - before < 300 * 400 * 10  # over 100,000 pairs; what is shuffled are a document's gains and each task's leading rows
+
+
 def test_documents_are_inverted_in_bounded_slices(monkeypatch):
     import pyarrow as pa
 
