@@ -55,3 +55,10 @@ def test_pages_read_lists_that_were_searched_once(spark):
     for df in (QUERIES["page_slice"](spark, SF), searches.paged_rows(of)):
         files = df.inputFiles()
         assert files and all("/fused-" in f for f in files)
+
+
+@pytest.mark.parametrize("name", ["metric_table", "lexical_lead"])
+def test_keyword_lists_are_searched_for_once(spark, name):
+    """A plan that reads the keyword lists several times reads their few rows, not the index behind them."""
+    files = QUERIES[name](spark, SF).inputFiles()
+    assert any("/bm25-" in f for f in files) and not any("/indexes/" in f for f in files)
